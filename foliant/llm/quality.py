@@ -26,11 +26,11 @@ _KIND[97:123], _KIND[65:91], _KIND[48:58] = 2, 3, 4
 for _k, _chars in ((5, "."), (6, ","), (7, "!?;:"), (8, "()[]{}\"'<>"), (9, "|/\\_-=")):
     _KIND[[ord(c) for c in _chars]] = _k
 _KINDS = 12
-WIDTH = _KINDS * _KINDS + 8
+WIDTH = _KINDS * _KINDS + 10
 
 
 def features(text: str | None) -> np.ndarray:
-    """Of one whole text: roots of the shares of pairs of byte kinds, and eight measures of length and repetition. Null counts as empty."""
+    """Of one whole text: roots of the shares of pairs of byte kinds, and ten measures of length and repetition. Null counts as empty."""
     out = np.zeros(WIDTH, np.float32)
     raw = (text or "").encode("utf-8", "surrogatepass")
     if not raw:
@@ -40,9 +40,10 @@ def features(text: str | None) -> np.ndarray:
     out[: _KINDS * _KINDS] = np.sqrt(pairs / max(1, len(raw) - 1))
     words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
     n = len(words)
-    out[-8:] = (
+    out[-10:] = (
         np.log1p(n), np.log1p(len(raw) / max(1, n)), len(set(words)) / max(1, n), len(set(lines)) / max(1, len(lines)), np.log1p(n / max(1, len(lines))),
         sum(len(w) <= 3 for w in words) / max(1, n), sum(w[-1:] in b".,;:!?" for w in words) / max(1, n), max(map(len, words), default=0) ** 0.25,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, n), sum(not w[-1:].isalnum() and w[-1] < 128 and w[-1:] not in b".,;:!?" for w in words) / max(1, n),
     )
     return out
 
