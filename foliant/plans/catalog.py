@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from foliant.plans import evaluation
+
+_PARTS = (evaluation,)
+QUERIES: dict = {k: q for part in _PARTS for k, q in part.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for part in _PARTS for k, s in part.ORACLES.items()}
