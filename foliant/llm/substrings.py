@@ -15,16 +15,17 @@ from foliant.llm.windows import Words, anchors, blocks
 from foliant.session import ship, width
 
 WINDOW = 13
-_ROWS = "part int, doc_id long, data binary"
+_ROWS = "part int, kind int, data binary"
+_WINDOWS, _ANSWERS = 0, 1
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
-def _rows(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
-    part, doc, data = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int64()), pa.array(data, pa.binary())], names=["part", "doc_id", "data"])
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    part, kind, data = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
 
 
 def _pack(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, known: np.ndarray) -> bytes:
@@ -54,13 +55,36 @@ def _runs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _answers(doc: np.ndarray, pos: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
-    """A row of places for each document, routed by the document."""
+    """Places packed for each partition of documents: what is sent grows with the places, not with documents times partitions."""
     if not len(doc):
         return []
+    by = doc % parts
+    order = np.lexsort((pos, doc, by))
+    doc, pos, by = doc[order], pos[order].astype(np.int32), by[order]
+    cuts = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return [(int(by[a]), _ANSWERS, pack(np.diff(doc[a:b], prepend=0).tobytes() + np.diff(pos[a:b], prepend=np.int32(0)).astype(np.int32).tobytes())) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of places for each document of a partition."""
+    docs, places = [], []
+    for b in batches:
+        for x in b.column(2).to_pylist():
+            raw = zstandard.ZstdDecompressor().decompress(x)
+            n = len(raw) // 12
+            docs.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
+            places.append(np.cumsum(np.frombuffer(raw, np.int32, n, 8 * n), dtype=np.int64).astype(np.int32))
+    if not docs:
+        return
+    doc, pos = np.concatenate(docs), np.concatenate(places)
     order = np.lexsort((pos, doc))
     doc, pos = doc[order], pos[order]
     cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    return [(int(doc[a]) % parts, int(doc[a]), pos[a:b].astype(np.int32).tobytes()) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
+    ends = np.concatenate((cuts[1:], [len(doc)]))
+    for k in range(0, len(cuts), 10_000):
+        packed = [pos[a:b].tobytes() for a, b in zip(cuts[k : k + 10_000], ends[k : k + 10_000], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[cuts[k : k + 10_000]]), pa.array(packed, pa.binary())], names=["doc_id", "places"])
 
 
 def _level(n: int, parts: int, last: bool, places: Callable[[Words, list | None], np.ndarray]) -> Callable:
@@ -95,7 +119,7 @@ def _level(n: int, parts: int, last: bool, places: Callable[[Words, list | None]
                 split = np.argsort(by, kind="stable")
                 fields = [x[send][split] for x in (h, doc, pos, known)]
                 cuts = np.searchsorted(by[split], np.arange(parts + 1).astype(np.uint64))
-                out += [(p, None, _pack(*(x[cuts[p] : cuts[p + 1]] for x in fields))) for p in range(parts) if cuts[p] < cuts[p + 1]]
+                out += [(p, _WINDOWS, _pack(*(x[cuts[p] : cuts[p + 1]] for x in fields))) for p in range(parts) if cuts[p] < cuts[p + 1]]
                 yield _rows(out)
 
     return run
@@ -107,10 +131,11 @@ def _meet(parts: int, last: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in batches:
-            direct = [(0, d, x) for d, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if d is not None]
-            held += [_unpack(x) for d, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if d is None]
-            if direct:
-                yield _rows(direct)
+            for part, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind == _ANSWERS:
+                    yield _rows([(part, kind, data)])
+                else:
+                    held.append(_unpack(data))
         if not held:
             return
         h, doc, pos, known = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -121,17 +146,17 @@ def _meet(parts: int, last: bool) -> Callable:
         else:
             shared = (least != most) | (np.bincount(group, known[order]) > 0)
             hit = order[shared[group] & ~known[order]]
-        found = _answers(doc[hit], pos[hit], parts)
-        for k in range(0, len(found), 10_000):
-            yield _rows(found[k : k + 10_000])
+        if found := _answers(doc[hit], pos[hit], parts):
+            yield _rows(found)
 
     return run
 
 
 def _answered(rows: DataFrame, n: int, parts: int, last: bool, places: Callable) -> DataFrame:
-    """(doc_id, places) of the windows that a level answers; places: a list of packed ints."""
+    """(doc_id, places) of the windows that a level answers; places: packed ints."""
     sent = rows.mapInArrow(_level(n, parts, last, places), _ROWS).repartitionById(parts, F.col("part"))
-    return sent.mapInArrow(_meet(parts, last), _ROWS).groupBy("doc_id").agg(F.collect_list("data").alias("places"))
+    answers = sent.mapInArrow(_meet(parts, last), _ROWS).repartitionById(parts, F.col("part"))
+    return answers.mapInArrow(_gather, "doc_id long, places binary")
 
 
 def _sampled(n: int) -> Callable:
@@ -144,9 +169,9 @@ def _sampled(n: int) -> Callable:
 
 def _marks(words: Words, given: list | None) -> np.ndarray:
     marked = np.zeros(len(words.doc), bool)
-    for k, chunks in enumerate(given or []):
-        for c in chunks or []:
-            marked[words.first[k] + np.frombuffer(c, np.int32)] = True
+    for k, packed in enumerate(given or []):
+        if packed:
+            marked[words.first[k] + np.frombuffer(packed, np.int32)] = True
     return marked
 
 
@@ -173,11 +198,11 @@ def _result(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, chunks in zip(_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for text, packed in zip(_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
                 words = text.split()
                 spans: list[tuple[int, int]] = []
-                if chunks:
-                    starts = np.unique(np.concatenate([np.frombuffer(c, np.int32) for c in chunks])).astype(np.int64)
+                if packed:
+                    starts = np.unique(np.frombuffer(packed, np.int32)).astype(np.int64)
                     breaks = np.flatnonzero(np.diff(starts) > n)
                     spans = list(zip(starts[np.concatenate(([0], breaks + 1))].tolist(), (starts[np.concatenate((breaks, [len(starts) - 1]))] + n).tolist(), strict=True))
                 kept, at = [], 0
@@ -257,7 +282,7 @@ def _longest_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for doc, levels in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             spans: list[tuple[int, int, int]] = []
             for level in sorted(levels, key=lambda x: -x["words"]):
-                n, starts = level["words"], np.unique(np.concatenate([np.frombuffer(c, np.int32) for c in level["places"]])).astype(int)
+                n, starts = level["words"], np.unique(np.frombuffer(level["places"], np.int32)).astype(int)
                 breaks = np.flatnonzero(np.diff(starts) > 1)
                 for s, e in zip(starts[np.concatenate(([0], breaks + 1))], starts[np.concatenate((breaks, [len(starts) - 1]))] + n, strict=True):
                     if not any(a <= s and e <= z for a, z, _ in spans):
