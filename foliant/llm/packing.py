@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,42 +17,73 @@ from foliant.session import cut, ship
 LENGTH, END_ID = 4096, 1
 #: Tokens and pieces that a packing task takes on average at most, and shards whose last bins meet again in one task.
 SHARD_TOKENS, SHARD_PIECES, MERGED = 1 << 21, 1 << 18, 4096
-#: Distinct chunks of text between white space that a worker remembers.
-REMEMBERED = 400_000
+#: Entries that each half of a worker's memory of chunks, and of words, holds.
+REMEMBERED = 350_000
 
-_tokenizers: dict[str, object] = {}
-_chunks: dict[str, dict[str, bytes]] = {}
+#: What the tokenizer's own pattern splits off before its merges; only used for printable Latin text.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_LATIN = regex.compile(r"[\x21-\x7E\u00A1-\u00AC\u00AE-\u024F]+")
+#: Bytes as the characters that byte-level vocabularies write them by: printable ones as they are, the others from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
+_tokenizers: dict[str, "_Chunks"] = {}
 
-class _Ids(dict):
-    """Chunk of text -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+def _packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+
+class _Remembered(dict):
+    """Results of ``find``; once full, what was not asked for since the last time is forgotten."""
+
+    def __init__(self, find):
+        self.find, self.older = find, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(key) <= 64:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class _Chunks:
+    """Ids of chunks of text without white space, as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.words, self.chunks = _Remembered(self._word), _Remembered(self._chunk)
+
+    def _word(self, word: str) -> bytes:
+        shown = word if word.isascii() else "".join(map(_BYTE.__getitem__, word.encode()))
+        return _packed_ids([x.id for x in self.model.tokenize(shown)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Word by word for printable Latin text; whatever else (other scripts, controls, special tokens) by the tokenizer itself."""
+        if "<|" in chunk or not _LATIN.fullmatch(chunk):
+            return _packed_ids(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        plain = chunk.lower() if chunk.isascii() else self.normalizer.normalize_str(chunk)
+        return b"".join(map(self.words.__getitem__, _PIECES.findall(plain)))
 
 
 def token_ids(texts: list[str | None], tokenizer_path: str) -> Iterator[bytes]:
     """Each text's ids, without the end id.
 
     The tokenizer splits at white space before anything else and drops it, so ids are looked
-    up by the chunks between blanks, tabs and newlines; a worker forgets them all when it
-    has seen too many.
+    up by the chunks between blanks, tabs and line ends; a worker remembers recent ones.
     """
-    from tokenizers import Tokenizer
-
     if tokenizer_path not in _tokenizers:
-        _tokenizers[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
-        _chunks[tokenizer_path] = _Ids(_tokenizers[tokenizer_path])
-    ids = _chunks[tokenizer_path]
+        _tokenizers[tokenizer_path] = _Chunks(tokenizer_path)
+    ids = _tokenizers[tokenizer_path].chunks
     for text in texts:
-        if len(ids) > REMEMBERED:
-            ids.clear()
         chunks = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
         yield b"".join(map(ids.__getitem__, filter(None, chunks)))
 
