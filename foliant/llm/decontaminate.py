@@ -9,30 +9,19 @@ WINDOW, SHINGLE = 13, 5
 #: Characters of all distinct item windows up to which they are broadcast (a few times that as rows).
 BROADCAST_CHARS = 8_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
-def _split(text: Column, between: str) -> tuple[Column, Column, Column]:
-    """The parts of a text between separators, and the range of those that are words: only the first and the last part can be empty."""
-    parts = F.split(text, between)
-    first = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
-    last = F.size(parts) - F.when((F.size(parts) > 1) & (F.get(parts, F.size(parts) - 1) == ""), 1).otherwise(0)
-    return parts, first, last
+_WORD, _WORD_ANY_CASE = r"[0-9a-z\x{80}-\x{10FFFF}]+", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a text with A-Z in lower case; other letters keep their case. Null: none."""
     text = F.coalesce(text, F.lit(""))
     low = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
-    parts, first, last = _split(low, _BETWEEN)
-    return F.slice(parts, first + 1, last - first)
+    return F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
 
 
 def count_words(text: Column) -> Column:
     """How many words words() gives."""
-    _, first, last = _split(F.coalesce(text, F.lit("")), _BETWEEN_ANY_CASE)
-    return (last - first).cast("long")
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD_ANY_CASE), F.lit(0))).cast("long")
 
 
 def _shingle(w: Column, at: Column, n: int) -> Column:
@@ -72,8 +61,11 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         """A row for each shingle: its place (at) and hash (h)."""
         out = None
         for n in widths:
-            at = frame.where(F.size(w) >= n) if len(widths) == 1 else frame.where((F.size(w) >= n) & (F.least(F.lit(shingle), F.col("len")) == n) if "len" in frame.columns else F.size(w) >= n)
-            at = at.select(*keep, w, F.explode(F.sequence(F.lit(0), F.size(w) - n)).alias("at")).withColumn("h", _shingle(F.col(w), F.col("at"), n))
+            fits = F.size(w) >= n
+            if "len" in frame.columns:
+                fits = fits & (F.least(F.lit(shingle), F.col("len")) == n)
+            # explode_outer of null: an inner explode would have Spark filter by, and so split, the text once more.
+            at = frame.select(*keep, w, F.explode_outer(F.when(fits, F.sequence(F.lit(0), F.size(w) - n))).alias("at")).where("at is not null").withColumn("h", _shingle(F.col(w), F.col("at"), n))
             out = at if out is None else out.unionByName(at)
         return out
 
