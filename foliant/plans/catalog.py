@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliant.plans import evaluation
+from foliant.plans import evaluation, memory, panels, texts
 
-_PARTS = (evaluation,)
+_PARTS = (evaluation, memory, texts, panels)
 QUERIES: dict = {k: q for part in _PARTS for k, q in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for part in _PARTS for k, s in part.ORACLES.items()}
