@@ -37,15 +37,15 @@ def _packed_ids(ids: list[int]) -> bytes:
 class _Remembered(dict):
     """Results of ``find``; once full, what was not asked for since the last time is forgotten."""
 
-    def __init__(self, find):
-        self.find, self.older = find, {}
+    def __init__(self, find, most: int):
+        self.find, self.most, self.older = find, most, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.find(key)
         if len(key) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -60,7 +60,7 @@ class _Chunks:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
-        self.words, self.chunks = _Remembered(self._word), _Remembered(self._chunk)
+        self.words, self.chunks = _Remembered(self._word, REMEMBERED), _Remembered(self._chunk, 3 * REMEMBERED // 2)
 
     def _word(self, word: str) -> bytes:
         shown = word if word.isascii() else "".join(map(_BYTE.__getitem__, word.encode()))
@@ -68,9 +68,18 @@ class _Chunks:
 
     def _chunk(self, chunk: str) -> bytes:
         """Word by word for printable Latin text; whatever else (other scripts, controls, special tokens) by the tokenizer itself."""
+        if chunk.isascii():
+            plain = chunk.lower()
+            if plain.isalpha():
+                return self.words[plain]
+            if plain[:-1].isalpha() and plain[-1] in ".,":
+                return self.words[plain[:-1]] + self.words[plain[-1]]
         if "<|" in chunk or not _LATIN.fullmatch(chunk):
             return _packed_ids(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        plain = chunk.lower() if chunk.isascii() else self.normalizer.normalize_str(chunk)
+        if not chunk.isascii():
+            plain = self.normalizer.normalize_str(chunk)
+            if plain.isalpha():
+                return self.words[plain]
         return b"".join(map(self.words.__getitem__, _PIECES.findall(plain)))
 
 
