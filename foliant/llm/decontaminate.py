@@ -79,10 +79,9 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         return met.where(bounds & (F.slice("words", F.col("start") + 1, F.col("len")) == F.col("w"))).select("doc_id", "text_hash", "start", "len", "win")
     places = hashed(text, "words", ["doc_id", "text_hash"]).withColumn("size", F.size("words")).drop("words")
     met = places.join(prefixes, "h").withColumn("start", F.col("at") - F.col("off")).where(bounds).select("doc_id", "text_hash", "start", "len", "win", "w").distinct()
-    return (
-        met.withColumnRenamed("doc_id", "__id").join(text.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (text["text_hash"] == met["text_hash"]))
-        .where(F.slice("words", F.col("start") + 1, F.col("len")) == F.col("w")).select("doc_id", text["text_hash"], "start", "len", "win")
-    )
+    met = met.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    fetched = met.join(text.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    return fetched.where(F.slice("words", F.col("start") + 1, F.col("len")) == F.col("w")).select("doc_id", "text_hash", "start", "len", "win")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, one_in: int = 20, **how) -> DataFrame:
