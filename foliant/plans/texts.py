@@ -196,6 +196,9 @@ ORACLES = {
         s AS (SELECT question_id, page_id, coalesce((SELECT sum(least(6, {_COUNT('low', 'x')})) FROM (SELECT unnest(w) AS x)), 0)::DOUBLE + CASE WHEN ph <> '' AND contains(low, ph) THEN 20 ELSE 0 END
           + CASE WHEN regexp_matches(question, '(?i)\\b(count|total|how many|percentage|percent|number)\\b') AND regexp_matches(text, '\\b\\d+\\b') THEN 5 ELSE 0 END AS score FROM pages JOIN asked USING (context_id))
         SELECT * FROM s WHERE score > 0""",
+    "question_search": f"""WITH pages AS (SELECT context_id, page_id, lower(text) AS low FROM ({V.TURN_PAGES_SQL})), asked AS (SELECT *, {_TOK('question')} AS w, regexp_extract_all(lower(question), '"([^"]+)"', 1) AS ph, regexp_replace(lower(question), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS q FROM ({V.TURN_QUESTIONS_SQL})),
+        s AS (SELECT question_id, page_id, coalesce((SELECT sum(least(8, {_COUNT('low', 'x')})) FROM (SELECT unnest(w) AS x)), 0)::DOUBLE + coalesce((SELECT sum(12 * {_COUNT('low', 'x')}) FROM (SELECT unnest(ph) AS x)), 0) + CASE WHEN length(q) >= 4 AND contains(low, q) THEN 20 ELSE 0 END AS score FROM pages JOIN asked USING (context_id))
+        SELECT question_id, page_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, page_id) AS rank, score FROM s WHERE score > 0 QUALIFY rank <= 3""",
     "grep_documents": """
         WITH l AS (SELECT doc_id AS context_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), h AS (SELECT context_id, lines, i FROM (SELECT context_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l) WHERE regexp_matches(lines[i], 'token|password')),
         c AS (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY i) AS hit FROM h QUALIFY hit <= 5)
