@@ -169,28 +169,33 @@ def verify_quotes(quotes: DataFrame, contexts: DataFrame, key: str = "context_id
     return joined.withColumns({"exact": F.coalesce(F.contains("__text", F.col("quote")), F.lit(False)), "normalised": F.coalesce(F.contains(fold(F.col("__text")), fold(F.col("quote"))), F.lit(False))}).drop("__text")
 
 
-def verbatim_passages(corpus: DataFrame, passages: DataFrame, head: int = 8, id_col: str = "doc_id", text_col: str = "text", passage_id: str = "item_id") -> DataFrame:
+def verbatim_passages(corpus: DataFrame, passages: DataFrame, head: int = 8, id_col: str = "doc_id", text_col: str = "text", passage_id: str = "item_id", broadcast_chars: int = 8_000_000) -> DataFrame:
     """(passage_id, doc_id): which passages stand verbatim (case and white space folded) in which texts.
 
     Texts and passages meet by the hash of ``head`` consecutive tokens, the passage's first, so no text is
     compared with passages that it shares no such run with; then the whole passage is looked for. Passages
-    of fewer tokens meet by all they have.
+    of fewer tokens meet by all they have. Passages are broadcast up to ``broadcast_chars`` characters in all;
+    beyond, hashes alone are shuffled and each candidate fetches its text and passage.
     """
     fold = lambda c: T.strip(F.lower(F.regexp_replace(c, r"\s+", " ")))
-    words = lambda c: F.split(c, " ")
-    items = passages.select(passage_id, fold(F.col(text_col)).alias("passage")).where("passage <> ''").withColumn("n", F.least(F.lit(head), F.size(words(F.col("passage")))))
-    items = items.withColumn("h", F.xxhash64("n", F.array_join(F.slice(words(F.col("passage")), F.lit(1), F.col("n")), " ")))
-    sizes = [r["n"] for r in items.select("n").distinct().collect()]  # at most ``head`` numbers
-    docs = corpus.select(id_col, fold(F.col(text_col)).alias("folded")).withColumn("w", words(F.col("folded")))
+    items = passages.select(passage_id, fold(F.col(text_col)).alias("passage")).where("passage <> ''").withColumn("n", F.least(F.lit(head), F.size(F.split("passage", " "))))
+    items = items.withColumn("h", F.xxhash64("n", F.array_join(F.slice(F.split("passage", " "), F.lit(1), F.col("n")), " ")))
+    measured = items.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0)).alias("chars"), F.collect_set("n").alias("sizes")).first()  # sizes: at most ``head`` numbers
+    docs = corpus.select(id_col, fold(F.col(text_col)).alias("folded"))
+    split = docs.withColumn("w", F.split("folded", " "))
     runs = None
-    for n in sizes:
-        at = docs.where(F.size("w") >= n).select(id_col, "folded", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("at"))
+    for n in measured["sizes"]:
+        # explode_outer of null, as an inner explode would have Spark fold and split the text once more to filter by it.
+        at = split.select(id_col, "folded", "w", F.explode_outer(F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n))).alias("at")).where("at is not null")
         one = at.select(id_col, "folded", F.xxhash64(F.lit(n), F.concat_ws(" ", *[F.get("w", F.col("at") + k) for k in range(n)])).alias("h"))
         runs = one if runs is None else runs.unionByName(one)
     if runs is None:
-        return items.select(passage_id).crossJoin(docs.select(id_col).limit(0))
-    met = runs.join(items, "h").where(F.contains(F.concat(F.lit(" "), "folded", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" "))))
-    return met.select(passage_id, id_col).distinct()
+        return docs.select(F.lit(None).cast(dict(passages.dtypes)[passage_id]).alias(passage_id), id_col).limit(0)
+    holds = F.contains(F.concat(F.lit(" "), "folded", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" ")))
+    if measured["chars"] <= broadcast_chars:
+        return runs.join(F.broadcast(items), "h").where(holds).select(passage_id, id_col).distinct()
+    met = runs.drop("folded").join(items.select("h", passage_id), "h").select(passage_id, id_col).distinct()
+    return met.join(docs, id_col).join(items.select(passage_id, "passage"), passage_id).where(holds).select(passage_id, id_col).distinct()
 
 
 def gold_retention(corpus: DataFrame, golds: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -223,3 +223,11 @@ def test_normalisers(spark):
     rows = spark.createDataFrame([(k, f"i{k}", k * 10) for k in range(1, 13)], "ord int, id string, value int")
     eps = {x["episode"]: x for x in N.expanding_history(rows, 3, ahead=2).collect()}
     assert eps[1]["context"].count("\n") == 3 and eps[1]["gold"] == "i5,50\ni6,60" and 3 not in eps
+
+
+@pytest.mark.parametrize("limit", [8_000_000, 0])
+def test_verbatim_passages(spark, limit):
+    docs = spark.createDataFrame([(1, "One two  three\nfour five six seven eight nine"), (2, "two"), (3, None), (4, "")], "doc_id int, text string")
+    items = spark.createDataFrame([(7, "two three four five six seven eight nine"), (8, "TWO"), (9, "two three four five six seven eight"), (10, "wo three"), (11, None)], "item_id int, text string")
+    assert {(r["item_id"], r["doc_id"]) for r in E.verbatim_passages(docs, items, broadcast_chars=limit).collect()} == {(7, 1), (8, 1), (8, 2), (9, 1)}
+    assert E.verbatim_passages(docs, items.limit(0)).count() == 0
