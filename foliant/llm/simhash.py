@@ -182,7 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """SimHash classes: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable), component_size.
 
     Equal fingerprints are folded before any search, by (fingerprint, salt) first, so a
-    hot fingerprint costs one row. Null and empty texts have fingerprint zero and are linked
+    hot fingerprint costs one row; a component's fingerprints get its id by (root, lot), so
+    that a component holding a third of them is dealt to many tasks. Null and empty texts have fingerprint zero and are linked
     like any other. A null id never names a component unless the component has no other.
     Repeated rows are returned as often as they came; ties cannot arise. Other columns are
     ignored. No rows give no rows.
@@ -194,9 +195,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("fp").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
     )
     roots = connected_components(near_links(classes.select("fp"), max_bits, blocks, bucket))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", "n", "salts", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
-    answers = rooted.join(named, "root").select("fp", "component_id", "component_size", F.explode("salts").alias("salt"))
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", "n", "salts", F.coalesce("root", "fp").alias("root"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("lot"))
+    named = (
+        rooted.groupBy("root", "lot").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+        .groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"), F.collect_set("lot").alias("lots"))
+        .select("root", "component_id", "component_size", F.explode("lots").alias("lot"))
+    )
+    answers = rooted.join(named, ["root", "lot"]).select("fp", "component_id", "component_size", F.explode("salts").alias("salt"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return dealt.join(answers, ["fp", "salt"]).select("doc_id", hexed.alias("fingerprint"), "component_id", "component_size")
 
