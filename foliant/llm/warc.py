@@ -8,7 +8,9 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -20,8 +22,13 @@ LEAST, SALTS, CHUNK = 1000, 32, 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 
 
+def _packed(payloads: pd.Series) -> pd.Series:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return payloads.map(lambda x: pack(x.encode("utf-8", "surrogatepass")))
+
+
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest (hex SHA-1), record_type, refers_to.
+    """page_id, url, payload (UTF-8, packed by Zstandard for the shuffle), payload_bytes, payload_digest (hex SHA-1), record_type, refers_to.
 
     Of equal payloads of ``least`` bytes or more the row with the largest page_id is the response and the
     others revisit it; smaller ones are all responses. Equal means of one SHA-256 digest; groups
@@ -30,12 +37,13 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1(F.col("payload").cast("binary")), "key": F.sha2("payload", 256), "salt": F.pmod(F.xxhash64("page_id"), F.lit(SALTS))})
+    ship(pages.sparkSession)
     groups = (
         rows.where(F.col("payload_bytes") >= least).groupBy("key", "salt").agg(F.max("page_id").alias("keep"))
         .groupBy("key").agg(F.max("keep").alias("keep"), F.collect_set("salt").alias("salts")).select("key", "keep", F.explode("salts").alias("salt"))
     )
     revisit = ~F.col("page_id").eqNullSafe(F.col("keep")) & F.col("keep").isNotNull()
-    return rows.join(groups, ["key", "salt"], "left").select(
+    return rows.withColumn("payload", F.pandas_udf(_packed, "binary")("payload")).join(groups, ["key", "salt"], "left").select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keep")).alias("refers_to"))
 
 
@@ -45,7 +53,7 @@ def _urn(page_id: int | None, place: str) -> str:
 
 def _record(row: dict, place: str, date: str) -> bytes:
     """One WARC/1.1 record; a revisit has the HTTP head and no payload."""
-    payload = row["payload"].encode("utf-8", "surrogatepass")
+    payload = zstandard.ZstdDecompressor().decompress(row["payload"])
     again = row["record_type"] == "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
     block = http if again else http + payload
