@@ -96,7 +96,7 @@ def story_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def densest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each user's events the block with most of them, two hours apart at most."""
-    t = F.unix_timestamp("ts")
+    t = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     events = V.runs(spark, sf_dir).select(F.col("task").cast("string").alias("context_id"), F.col("run_id").cast("int").alias("idx"), t.alias("position"))
     return S.densest_block(events, 7200).groupBy("context_id").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("start"), F.max("position").alias("end"))
 
