@@ -93,3 +93,8 @@ def evenly_spaced(rows: DataFrame, keys: Sequence[str], place: str, n: int) -> D
     size = F.max(place).over(Window.partitionBy(*keys))
     at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.bround(k * (F.col("__size") - 1) / F.lit(max(1, n - 1))) + 1)
     return rows.withColumn("__size", size).where((F.col("__size") <= n) | F.array_contains(at, F.col(place).cast("double"))).drop("__size")
+
+
+def sampled_manifest(rows: DataFrame, panel: str, order: Sequence[str], n: int, columns: Sequence[str] = ("task_id", "source_benchmark", "source_task", "scorer")) -> DataFrame:
+    """The first ``n`` rows of each panel with the columns that a manifest shows."""
+    return first_n(rows, [panel], order, n).select(panel, *[c for c in columns if c != panel])
