@@ -43,8 +43,8 @@ def cross_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def experiment_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs of every task with every arm that have no run yet."""
     rows = V.runs(spark, sf_dir)
-    arms = rows.select("arm").distinct()
-    jobs = rows.select("task").distinct().crossJoin(F.broadcast(arms.limit(1000)))  # arms: a handful of settings
+    arms = F.explode(F.array(*[F.lit(a) for a in ("click", "error", "purchase", "signup", "view")]))
+    jobs = rows.select("task").distinct().select("task", arms.alias("arm"))
     return P.skip_existing(jobs, rows.where("error is null"), ["task", "arm"])
 
 
