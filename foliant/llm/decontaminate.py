@@ -84,15 +84,8 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     return fetched.where(F.slice("words", F.col("start") + 1, F.col("len")) == F.col("w")).select("doc_id", "text_hash", "start", "len", "win")
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, one_in: int = 20, **how) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, item_ids (strings, sorted), contaminated.
-
-    A word is hit if an occurrence of an item window covers it; a document is contaminated if it
-    has hits and they are at least one in ``one_in`` of its words. Null texts have no words. Rows
-    with equal ids and texts are answered alike, as often as they come; null ids too. An
-    item with a null id is named by the empty string. Items that repeat count once for each id.
-    Other columns are ignored. No items: no hits; no documents: no rows.
-    """
+def _judged(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, window: int, one_in: int, **how) -> DataFrame:
+    """As contamination, with text_hash."""
     names = item_windows(items, item_id_col, item_text_col, window).select("win", "item")
     spans = contaminated_spans(docs, items, id_col, text_col, item_id_col, item_text_col, window, **how)
     found = spans.join(names.groupBy("win").agg(F.collect_set("item").alias("items")), "win")
@@ -103,12 +96,25 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("__text"), count_words(F.col(text_col)).alias("n_words"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left").select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
+        "doc_id", F.col("__text").alias("text_hash"), "n_words", hit.alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), ((hit > 0) & (one_in * hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = contamination(docs, items, id_col, text_col, **how).where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__gone"]), "left_anti")
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, one_in: int = 20, **how) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, item_ids (strings, sorted), contaminated.
+
+    A word is hit if an occurrence of an item window covers it; a document is contaminated if it
+    has hits and they are at least one in ``one_in`` of its words. Null texts have no words. Rows
+    with equal ids and texts are answered alike, as often as they come; null ids too. An
+    item with a null id is named by the empty string. Items that repeat count once for each id.
+    Other columns are ignored. No items: no hits; no documents: no rows.
+    """
+    return _judged(docs, items, id_col, text_col, item_id_col, item_text_col, window, one_in, **how).drop("text_hash")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, one_in: int = 20, **how) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns. Decided by (id, hash of the text), as other texts may have the id."""
+    bad = _judged(docs, items, id_col, text_col, item_id_col, item_text_col, window, one_in, **how).where("contaminated").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash")).distinct()
+    keyed = docs.withColumn("__hash", F.xxhash64(text_col))
+    return keyed.join(bad, keyed[id_col].eqNullSafe(bad["__gone"]) & (keyed["__hash"] == bad["__gone_hash"]), "left_anti").drop("__hash")

@@ -49,6 +49,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns (see exact_duplicates)."""
-    gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns (see exact_duplicates). Decided by (id, digest of the text), as other texts may have the id."""
+    gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_digest"))
+    keyed = docs.withColumn("__digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return keyed.join(gone, keyed[id_col].eqNullSafe(gone["__gone"]) & (keyed["__digest"] == gone["__gone_digest"]), "left_anti").drop("__digest")

@@ -144,5 +144,5 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text")
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at ``threshold`` or more, with all their columns."""
     model, kept = fit_quality(docs, labels, id_col, text_col), docs.columns
-    return score_quality(docs.withColumn("__text", F.col(text_col)), model, "__text").where(F.col("score") >= threshold).select(*kept) if "score" not in kept else docs.join(
-        score_quality(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), model, "__text").where(F.col("score") >= threshold).select("__id").distinct(), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    named = docs.withColumn("__text", F.col(text_col)).withColumnRenamed("score", "__score")
+    return score_quality(named, model, "__text").where(F.col("score") >= threshold).drop("score").withColumnRenamed("__score", "score").select(*kept)

@@ -42,15 +42,16 @@ def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], names=["doc_id", "fp", "text_hash"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long. Null text has no words, so 0."""
+    """(doc_id, fp, text_hash): fp holds the 64 bits as a signed long. Null text has no words, so 0."""
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long, text_hash long")
 
 
 def block_masks(blocks: int = BLOCKS, max_bits: int = MAX_BITS) -> list[int]:
@@ -178,16 +179,8 @@ def midpoint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) if max_bits % 2 else pairs
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, blocks: int = BLOCKS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
-    """SimHash classes: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable), component_size.
-
-    Equal fingerprints are folded before any search, by (fingerprint, salt) first, so a
-    hot fingerprint costs one row; a component's fingerprints get its id by (root, lot), so
-    that a component holding a third of them is dealt to many tasks. Null and empty texts have fingerprint zero and are linked
-    like any other. A null id never names a component unless the component has no other.
-    Repeated rows are returned as often as they came; ties cannot arise. Other columns are
-    ignored. No rows give no rows.
-    """
+def _classed(docs: DataFrame, id_col: str, text_col: str, max_bits: int = MAX_BITS, blocks: int = BLOCKS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
+    """As near_duplicates, with text_hash."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle, seed))
     dealt = fps.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     classes = cut(
@@ -203,10 +196,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     answers = rooted.join(named, ["root", "lot"]).select("fp", "component_id", "component_size", F.explode("salts").alias("salt"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return dealt.join(answers, ["fp", "salt"]).select("doc_id", hexed.alias("fingerprint"), "component_id", "component_size")
+    return dealt.join(answers, ["fp", "salt"]).select("doc_id", "text_hash", hexed.alias("fingerprint"), "component_id", "component_size")
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, blocks: int = BLOCKS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
+    """SimHash classes: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable), component_size.
+
+    Equal fingerprints are folded before any search, by (fingerprint, salt) first, so a
+    hot fingerprint costs one row; a component's fingerprints get its id by (root, lot), so
+    that a component holding a third of them is dealt to many tasks. Null and empty texts have fingerprint zero and are linked
+    like any other. A null id never names a component unless the component has no other.
+    Repeated rows are returned as often as they came; ties cannot arise. Other columns are
+    ignored. No rows give no rows.
+    """
+    return _classed(docs, id_col, text_col, max_bits, blocks, shingle, seed, bucket).drop("text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col, **how).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of ``docs`` that stay: of each component the document with the smallest id. Decided by (id, hash of the text), as other texts may have the id."""
+    classed = _classed(docs, id_col, text_col, **how).where("doc_id <> component_id or (doc_id is null and component_id is not null)")
+    gone = classed.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash"))
+    keyed = docs.withColumn("__hash", F.xxhash64(text_col))
+    return keyed.join(gone, keyed[id_col].eqNullSafe(gone["__gone"]) & (keyed["__hash"] == gone["__gone_hash"]), "left_anti").drop("__hash")

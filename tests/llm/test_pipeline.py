@@ -5,7 +5,7 @@ import zlib
 import pytest
 
 import corpus_pipeline as pipeline
-from foliant.llm import quality, simhash
+from foliant.llm import decontaminate, exact, quality, simhash
 from tests_llm_helpers import alnum, plain_fingerprint_classes
 
 
@@ -51,3 +51,29 @@ def test_run(spark, folder):
     ids = {r["doc_id"] for r in out}
     assert 7 not in ids and 107 not in ids and not ids & set(range(200, 260))
     assert all(r["offset"] + r["length"] <= 4096 and zlib.crc32(b"") == 0 for r in out)
+
+
+def test_decided_by_row(spark):
+    """Clean rows stay beside bad ones of the same id, null ids too."""
+    say = lambda seed: " ".join(f"word{(seed * 7919 + k * k) % 997}" for k in range(60))
+    rows = [(1, say(1)), (None, say(1)), (None, say(2)), (None, say(3)), (None, say(3)), (5, say(1)), (5, say(4)), (9, say(5)), (None, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda x: (x[0] or 0, x[1] or "")
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=key)
+    without = lambda *gone: sorted((r for r in rows if r not in gone), key=key)
+    assert left(exact.drop_exact_duplicates(docs)) == without((1, say(1)), (None, say(1)), (None, None))
+    assert left(simhash.drop_near_duplicates(docs)) == without((5, say(1)), (None, say(1)), (None, None))
+    items = spark.createDataFrame([(1, say(1)), (2, say(3))], "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_CHARS, 0):
+        assert left(decontaminate.drop_contaminated(docs, items, broadcast_chars=limit)) == without((1, say(1)), (5, say(1)), (None, say(1)), (None, say(3)))
+
+
+def test_quality_by_row(spark, folder):
+    """A column score is the rows' own; a bad text goes though a good one has its id."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("IF(doc_id = 210, 5, IF(doc_id IN (6, 211), NULL, doc_id)) AS doc_id", "text", "0.1D AS score")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.fit_quality(docs, labels)
+    rows = [(r["doc_id"], r["text"], r["score"]) for r in docs.collect()]
+    want = [r for r in rows if model.score(quality.features(r[1])[None])[0] >= quality.THRESHOLD]
+    got = [tuple(r) for r in quality.keep_quality(docs, labels).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({r[1] for r in rows if r[0] in (None, 5)} - {r[1] for r in got}) == 2
