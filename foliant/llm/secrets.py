@@ -16,8 +16,8 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
-#: A value in a credential context: after a name of one, a colon, an equals sign or "is"; up to a blank or its quote.
-CONTEXT = re.compile(r"""(?i:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth)\b)["']?(?:\x20*[:=]\x20*|\x20(?i:is)\x20)(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"'<>(){}]{6,}))""", re.ASCII)
+#: A value in a credential context: after a name of one (other parts may be joined to it by _ or -), a colon, an equals sign or "is"; up to a blank or its quote.
+CONTEXT = re.compile(r"""(?i:(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth)(?:[_-][A-Za-z0-9]++)*+(?![A-Za-z0-9_]))["']?(?:\x20*[:=]\x20*|\x20(?i:is)\x20)(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"'<>(){}]{6,}))""", re.ASCII)
 #: Decimal digits of guesses from which a value counts as a secret.
 LOG10_GUESSES = 8.0
 
@@ -100,10 +100,13 @@ def secret_spans(text: str | None, log10_guesses: float = LOG10_GUESSES) -> list
     if "AKIA" in text:
         out += [("access", *m.span()) for m in ACCESS.finditer(text)]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
-    for m in CONTEXT.finditer(text):
+    at = 0
+    while m := CONTEXT.search(text, at):
         group = m.lastindex
-        if guess_cost(m[group]) >= log10_guesses:
+        secret = guess_cost(m[group]) >= log10_guesses
+        if secret:
             out.append(("guess", *m.span(group)))
+        at = m.end() if secret else m.start(group)  # a weak value may be the next context's name
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -285,6 +285,21 @@ def test_op6_base_spans(spark, odd):
     assert secrets.scan_secrets(odd).count() == 6 and secrets.scan_secrets(odd.limit(0)).count() == 0
 
 
+def test_op6_names_of_several_parts():
+    """A credential name within a longer one is a context; part of a word is none."""
+    value = "x!9$kQ2#vL8@"
+    for name in ("DB_PASSWORD", "MYSQL_PWD", "client_secret", "auth_token", "aws_secret_access_key", "password_prod", "x-api-key", "SECRET_KEY_2", "_token", "password"):
+        for quote in "'", '"':
+            text = f"set {name}={quote}{value}{quote} now"
+            at = text.index(value)
+            assert ("guess", at, at + len(value)) in secrets.secret_spans(text), text
+    assert secrets.secret_spans('client_secret="p@#9kQ!2zL8&w"') == [("guess", 15, 28)]
+    for name in ("compass", "tokens", "author", "passwords_", "bypass"):
+        assert not [x for x in secrets.secret_spans(f"{name}='{value}'") if x[0] == "guess"], name
+    assert secrets.secret_spans(f"db_password: token: {value}") == [("guess", 20, 32)]
+    assert secrets.secret_spans("token" + "_a" * 50_000) == []
+
+
 def test_op6_guess_cost_orders_strength():
     weak = ["password", "qwertyuiop", "aaaaaaaaaaaa", "19900101", "abcabcabcabc", "p4ssw0rd1"]
     strong = ["x9$Kq!7zPw2m", "Zk3vTq8LwX1u", "f33e61083db5dbdf"]
