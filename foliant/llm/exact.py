@@ -48,8 +48,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns (see exact_duplicates). Decided by (id, digest of the text), as other texts may have the id."""
-    gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_digest"))
-    keyed = docs.withColumn("__digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return keyed.join(gone, keyed[id_col].eqNullSafe(gone["__gone"]) & (keyed["__digest"] == gone["__gone_digest"]), "left_anti").drop("__digest")
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of equal texts exactly one, that with the largest id.
+
+    Combined in the steps of exact_duplicates, each by the full text; whole rows are carried along,
+    so that nothing has to be joined back by an id that other rows may share. Null text counts as empty
+    and comes out as it was. A null id is smaller than any other. Rows of one id and text, or of
+    null ids and one text, are told apart by a hash of their other columns; rows equal in all columns
+    are one. No rows give no rows.
+    """
+    others = [f.name for f in docs.schema.fields if f.name != text_col]
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    keyed = docs.select(
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.struct(F.col(text_col).isNull().alias("was_null"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("row"),
+        F.struct(F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("tie")).alias("place"),
+    ).select(F.sha2("text", 256).alias("digest"), F.pmod(F.col("place.tie"), F.lit(salts)).alias("salt"), "text", "row", "place")
+    best = [F.max_by("row", "place").alias("row"), F.max("place").alias("place")]
+    winners = keyed.groupBy("digest", "salt", "text").agg(*best).repartition("digest").groupBy("digest", "text").agg(*best)
+    back = {c: F.col(f"row.c{k}") for k, c in enumerate(others)} | {text_col: F.when(~F.col("row.was_null"), F.col("text"))}
+    return winners.select(*[back[c].alias(c) for c in docs.columns])

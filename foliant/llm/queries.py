@@ -134,18 +134,20 @@ ORACLES: dict[str, str] = {
         FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
     "op4_line_dedup": r"""
-        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        WITH x AS (
+          SELECT doc_id, i, l[i] AS line, regexp_matches(l[i], '[^ \t\r]') AS filled
+          FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+        d AS (SELECT doc_id, list(line ORDER BY i) AS l FROM x WHERE filled GROUP BY 1),
         w AS (SELECT doc_id, n, s, array_to_string(l[s:s + n - 1], chr(10)) AS t
               FROM (SELECT doc_id, l, n, unnest(range(1, len(l) - n + 2)) AS s
                     FROM d, (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384]) AS n) WHERE len(l) >= n)),
         c AS (SELECT * FROM (SELECT doc_id, n, s, row_number() OVER (PARTITION BY n, t ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
-        gone AS (SELECT DISTINCT doc_id, unnest([s, s + 1]) AS i FROM c WHERE n = 2),
-        kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t, count(*) AS k
-                 FROM (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM d) LEFT JOIN (SELECT *, 1 AS out FROM gone) USING (doc_id, i)
-                 WHERE out IS NULL GROUP BY 1),
+        y AS (SELECT *, count(*) FILTER (filled) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM x),
+        z AS (SELECT y.*, c.s IS NOT NULL AS gone FROM y LEFT JOIN (SELECT doc_id, s FROM c WHERE n = 1) c USING (doc_id, s)),
         most AS (SELECT doc_id, max(n) AS m FROM c GROUP BY 1)
-        SELECT d.doc_id, len(l) AS n_lines, len(l) - coalesce(k, 0) AS n_removed, coalesce(m, 0) AS longest_copy, sha256(coalesce(t, '')) AS kept_sha256
-        FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN most USING (doc_id)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(any_value(m), 0) AS longest_copy,
+          sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM z LEFT JOIN most USING (doc_id) GROUP BY 1
     """,
     "op8_chat_formatting": r"""
         WITH t AS (

@@ -220,31 +220,59 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_op4_equals_brute_force(spark):
-    rng = random.Random(8)
-    rows = [(k, "\n".join(rng.choice(["", "a", "b", "c", f"x{rng.randrange(40)}"]) for _ in range(rng.randrange(0, 25)))) for k in range(30)]
-    rows += [(40, rows[3][1]), (41, None)]
-    text = {d: (t or "").split("\n") for d, t in rows}
-    seen: dict[tuple, tuple] = {}
+def plain_line_dedup(rows: list[tuple], least: int = 1) -> dict[tuple, tuple]:
+    """By (id, text): lines, lines removed, longest copy, kept text. Rows are given in order."""
+    order = list(dict.fromkeys(rows))
+    lines_of = {r: (r[1] or "").split("\n") for r in order}
+    places = {r: [k for k, x in enumerate(lines_of[r]) if x.strip(" \t\r")] for r in order}
+    seen: set[tuple] = set()
     gone, longest = defaultdict(set), defaultdict(int)
     for n in (1, 2, 4, 8, 16, 32):
-        for d in sorted(text):
-            for k in range(len(text[d]) - n + 1):
-                run = tuple(text[d][k : k + n])
+        for r in order:
+            at = places[r]
+            for k in range(len(at) - n + 1):
+                run = tuple(lines_of[r][x] for x in at[k : k + n])
                 if run in seen:
-                    longest[d] = n
-                    if n == 2:
-                        gone[d] |= {k, k + 1}
-                else:
-                    seen[run] = (d, k)
-    for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        d = r["doc_id"]
-        assert (r["n_lines"], r["n_removed"], r["longest_copy"]) == (len(text[d]), len(gone[d]), longest[d])
-        assert r["kept_text"] == "\n".join(x for k, x in enumerate(text[d]) if k not in gone[d])
+                    longest[r] = n
+                    if n == least:
+                        gone[r] |= set(range(at[k], at[k + n] if k + n < len(at) else len(lines_of[r])))
+                seen.add(run)
+    return {r: (len(lines_of[r]), len(gone[r]), longest[r], "\n".join(x for k, x in enumerate(lines_of[r]) if k not in gone[r])) for r in order}
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_op4_equals_brute_force(spark, least):
+    rng = random.Random(8)
+    rows = [(k, "\n".join(rng.choice(["", "a", "b", "c", " \t", f"x{rng.randrange(40)}"]) for _ in range(rng.randrange(0, 25)))) for k in range(30)]
+    rows += [(40, rows[3][1]), (41, None), (42, "one long line that is a copy " * 9), (43, "one long line that is a copy " * 9), (44, "\n\nb\n\n\nq\n"), (45, "z" * 5_000_000 + "\nb")]
+    want = plain_line_dedup(rows, least)
+    for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=least).collect():
+        row = (r["doc_id"], dict(rows)[r["doc_id"]])
+        assert (r["n_lines"], r["n_removed"], r["longest_copy"], r["kept_text"]) == want[row]
+        assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"]
+    if least == 1:
+        assert want[(43, rows[33][1])][1] == 1
+
+
+def test_op4_repeated_and_null_ids(spark):
+    """Texts of one id, and of null ids, are documents of their own; equal rows are one. Neither multiplies rows."""
+    body = "\n".join(f"line {k % 37}" for k in range(40))
+    rows = [(1, body)] * 6 + [(1, "own\nline 3\nother")] + [(None, body)] * 5 + [(None, f"alone {k}\nnot copied {k}") for k in range(4)]
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    kept = defaultdict(set)
+    for r in got:
+        kept[r["doc_id"]].add((r["kept_text"], r["n_removed"]))
+    # Null ids come first, in an order of their texts' hashes: their copy of the body stays but for its own three repeats.
+    once = "\n".join(f"line {k}" for k in range(37))
+    assert kept[None] == {(once, 3)} | {(f"alone {k}\nnot copied {k}", 0) for k in range(4)}
+    assert kept[1] == {("", 40), ("own\nother", 1)}
+    levels = lines.suffix_levels(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert levels[0].count() == 40 * 2 + 1 and len(levels) == 6
 
 
 def test_op4_ranks_are_suffix_order(spark):
-    levels = lines.suffix_levels(spark.createDataFrame([(1, "a\nb\na\nb\nc"), (2, "a\nb\nc")], "doc_id long, text string"))
+    levels = lines.suffix_levels(spark.createDataFrame([(1, "a\nb\na\nb\nc"), (2, "a\nb\n\nc")], "doc_id long, text string"))
     assert len(levels) == 2
     pairs = {(r["doc_id"], r["pos"]): r["rank"] for r in levels[1].collect()}
     assert pairs[(1, 0)] == pairs[(1, 2)] == pairs[(2, 0)] and pairs[(1, 3)] == pairs[(2, 1)] != pairs[(1, 0)]
@@ -265,10 +293,19 @@ def test_op5(spark, odd):
     got = exact.exact_duplicates(odd).collect()
     assert sorted((r["doc_id"] or 0, r["kept"]) for r in got) == [(0, False), (0, False), (1, True), (1, True), (7, False), (8, True)]
     kept = exact.drop_exact_duplicates(odd)
-    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 8]
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 8]
     assert exact.exact_duplicates(odd.limit(0)).count() == 0
 
 
+def test_op5_every_text_stays_once(spark):
+    """Rows are dropped, not ids: other texts of an id, null ids and repeated rows."""
+    rows = [(5, "x"), (5, "y"), (6, "y"), (3, "x"), (None, "u"), (None, "y"), (None, "u"), (5, "x"), (9, None), (2, ""), (4, "long " * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {(r["doc_id"], r["text"]) for r in exact.drop_exact_duplicates(docs).collect()} == {(5, "x"), (6, "y"), (None, "u"), (9, None), (4, "long " * 400_000)}
+    assert exact.drop_exact_duplicates(docs).count() == 5
+    assert exact.drop_exact_duplicates(docs.limit(0)).count() == 0
+
+
 def plain_base(text: str) -> list[tuple[str, int, int]]:
     out = [("assign", *m.span()) for m in re.finditer(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
     out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
