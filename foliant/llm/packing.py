@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,27 +18,28 @@ from foliant.session import cut, ship
 LENGTH, END_ID = 4096, 1
 #: Tokens and pieces that a packing task takes on average at most, and shards whose last bins meet again in one task.
 SHARD_TOKENS, SHARD_PIECES, MERGED = 1 << 21, 1 << 18, 4096
-#: Entries that each half of a worker's memory of chunks, and of words, holds.
-REMEMBERED = 350_000
-
-#: What the tokenizer's own pattern splits off before its merges; only used for printable Latin text.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_LATIN = regex.compile(r"[\x21-\x7E\u00A1-\u00AC\u00AE-\u024F]+")
+#: Words whose ids each half of a worker's memory holds, and characters of a text that are split at a time.
+REMEMBERED, SLICE_CHARS = 150_000, 1 << 20
+
+# Letters and numbers of printable Latin text (to U+017F). In such text the tokenizer's own pattern is these classes alone.
+_LATIN_CHARS = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x180))]
+_LETTERS = "".join(c for c in _LATIN_CHARS if unicodedata.category(c)[0] == "L")
+_NUMBERS = "".join(c for c in _LATIN_CHARS if unicodedata.category(c)[0] == "N")
+_LATIN = re.compile(f"[{re.escape(''.join(_LATIN_CHARS))} \\t\\n\\r]*")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \\t\\n\\r{_LETTERS}{_NUMBERS}]+")
 #: Bytes as the characters that byte-level vocabularies write them by: printable ones as they are, the others from 256 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
-_tokenizers: dict[str, "_Chunks"] = {}
-
 
 def _packed_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Remembered(dict):
-    """Results of ``find``; once full, what was not asked for since the last time is forgotten."""
+    """Results of ``find``. Once ``most`` are held, what was not asked for since the last time is forgotten; long keys are not kept."""
 
-    def __init__(self, find, most: int):
+    def __init__(self, find: Callable[[str], bytes], most: int):
         self.find, self.most, self.older = find, most, {}
 
     def __missing__(self, key: str) -> bytes:
@@ -52,65 +54,81 @@ class _Remembered(dict):
         return value
 
 
-class _Chunks:
-    """Ids of chunks of text without white space, as little-endian unsigned 32-bit integers."""
+class _Ids:
+    """Ids of texts, as little-endian unsigned 32-bit integers; what it remembers is bounded, whatever the corpus."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
-        self.words, self.chunks = _Remembered(self._word, REMEMBERED), _Remembered(self._chunk, 3 * REMEMBERED // 2)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.words, self.chunks = _Remembered(self._word, most), _Remembered(self._chunk, most // 8)
 
     def _word(self, word: str) -> bytes:
         shown = word if word.isascii() else "".join(map(_BYTE.__getitem__, word.encode()))
-        return _packed_ids([x.id for x in self.model.tokenize(shown)])
+        return _packed_ids([x.id for x in self.tokenize(shown)])
 
     def _chunk(self, chunk: str) -> bytes:
-        """Word by word for printable Latin text; whatever else (other scripts, controls, special tokens) by the tokenizer itself."""
-        if chunk.isascii():
-            plain = chunk.lower()
-            if plain.isalpha():
-                return self.words[plain]
-            if plain[:-1].isalpha() and plain[-1] in ".,":
-                return self.words[plain[:-1]] + self.words[plain[-1]]
         if "<|" in chunk or not _LATIN.fullmatch(chunk):
             return _packed_ids(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        if not chunk.isascii():
-            plain = self.normalizer.normalize_str(chunk)
-            if plain.isalpha():
-                return self.words[plain]
-        return b"".join(map(self.words.__getitem__, _PIECES.findall(plain)))
+        return b"".join(map(self.words.__getitem__, _PIECES.findall(chunk.lower())))
 
+    def of(self, text: str) -> bytes:
+        """The tokenizer lowers case, splits at white space and drops it, then splits by its pattern and merges within each word.
 
-def token_ids(texts: list[str | None], tokenizer_path: str) -> Iterator[bytes]:
-    """Each text's ids, without the end id.
+        Printable Latin text is done so word by word. Of other texts (other scripts, controls,
+        special tokens) each chunk between blanks is, and what is not Latin goes to the tokenizer itself.
+        """
+        if "<|" not in text and _LATIN.fullmatch(text):
+            return b"".join(map(self.words.__getitem__, _PIECES.findall(text.lower())))
+        return b"".join(map(self.chunks.__getitem__, filter(None, text.replace("\n", " ").replace("\t", " ").split(" "))))
 
-    The tokenizer splits at white space before anything else and drops it, so ids are looked
-    up by the chunks between blanks, tabs and line ends; a worker remembers recent ones.
-    """
+
+_tokenizers: dict[str, _Ids] = {}
+
+
+def _slices(text: str, size: int) -> Iterator[str]:
+    """Parts of a text of about ``size`` characters, cut at blanks; a longer stretch without any is one part."""
+    at = 0
+    while len(text) - at > size:
+        stop = text.rfind(" ", at, at + size)
+        if stop <= at:
+            stop = text.find(" ", at + size)
+        if stop < 0:
+            break
+        yield text[at:stop]
+        at = stop + 1
+    yield text[at:] if at else text
+
+
+def token_ids(texts: Iterable[str | None], tokenizer_path: str) -> Iterator[bytes]:
+    """Each text's ids, without the end id. Null counts as empty."""
     if tokenizer_path not in _tokenizers:
-        _tokenizers[tokenizer_path] = _Chunks(tokenizer_path)
-    ids = _tokenizers[tokenizer_path].chunks
+        _tokenizers[tokenizer_path] = _Ids(tokenizer_path)
+    of = _tokenizers[tokenizer_path].of
     for text in texts:
-        chunks = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-        yield b"".join(map(ids.__getitem__, filter(None, chunks)))
+        text = text or ""
+        yield of(text) if len(text) <= SLICE_CHARS else b"".join(map(of, _slices(text, SLICE_CHARS)))
 
 
 def _pieces(tokenizer_path: str, length: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
+    names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), token_ids(b.column(1).to_pylist(), tokenizer_path), strict=True):
+            docs, texts = b.column(0).to_pylist(), (t.as_py() for t in b.column(1))
+            for doc, ids in zip(docs, token_ids(texts, tokenizer_path), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     piece = ids[at : at + 4 * length]
                     rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), piece if with_ids else None))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                if len(rows) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
