@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from foliant.functions.text import SENTENCE
-from foliant.session import ship
+from foliant.session import cut, ship
 
 # Names, places, things and verbs of the story tasks.
 NAMES = ("Mary", "John", "Sandra", "Daniel", "Fred", "Bill", "Jeff", "Julie")
@@ -28,15 +30,21 @@ _FORMS = {
     "transfer": rf"(?i)\b({_N})\s+{GIVE}\s+the\s+({_T})\s+to\s+({_N})\b",
 }
 _GROUPS = {"pair": 3, "they": 2, "pronoun": 2, "single": 2, "pickup": 2, "drop": 2, "transfer": 3}
-EVENTS = "context_id string, idx int, kind string, text string, position long, people array<string>, location string, obj string, source string, target string"
 
 
 def sentence_offsets(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text") -> DataFrame:
-    """(context_id, position, sentence): non-empty sentences with their offsets."""
+    """(context_id, position, sentence): non-empty sentences with their offsets in code points."""
+    ship(contexts.sparkSession)
     marked = F.split(F.regexp_replace(F.coalesce(text_col, F.lit("")), f"({SENTENCE})", "\u0001$1\u0002"), "[\u0001\u0002]")
-    parts = contexts.select(F.col(id_col).cast("string").alias("context_id"), marked.alias("p"))
-    offsets = F.aggregate("p", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<position:bigint,sentence:string>>").alias("out")), lambda a, x: F.struct((a["at"] + F.length(x)).cast("long").alias("at"), F.when(x.rlike(r"\S") & x.rlike(r"(?i)[a-z]"), F.array_append(a["out"], F.struct(a["at"].cast("long").alias("position"), x.alias("sentence")))).otherwise(a["out"]).alias("out")), lambda a: a["out"])
-    return parts.select("context_id", F.inline(offsets))
+    parts = contexts.select(F.col(id_col).cast("string").alias("context_id"), marked.alias("sentence"))
+    placed = parts.withColumn("position", _before(F.transform("sentence", F.length)))
+    return placed.select("context_id", F.inline(F.filter(F.arrays_zip("position", "sentence"), lambda x: x["sentence"].rlike(r"\S") & x["sentence"].rlike(r"(?i)[a-z]"))))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _before(lengths: pd.Series) -> pd.Series:
+    """For each length of a list, the sum of those before it."""
+    return lengths.map(lambda x: np.cumsum(x) - x)
 
 
 def matched_sentences(sentences: DataFrame) -> DataFrame:
@@ -47,42 +55,58 @@ def matched_sentences(sentences: DataFrame) -> DataFrame:
     return out
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """One context's sentences in order, into candidate events: later ones depend on who was named last."""
-    group: list[str] = []
-    referents: list[str] = []
-    out: list[dict] = []
-
-    def add(kind: str, r, **more) -> None:
-        out.append({"context_id": r.context_id, "idx": len(out) + 1, "kind": kind, "text": r.sentence, "position": r.position, "people": [], "location": None, "obj": None, "source": None, "target": None} | more)
-
-    for r in rows.sort_values("position").itertuples():
-        if r.pair is not None:
-            group = referents = [r.pair[0].capitalize(), r.pair[1].capitalize()]
-            add("movement", r, people=group, location=r.pair[2].lower())
-        elif r.they is not None and group:
-            referents = group
-            add("movement", r, people=group, location=r.they[1].lower())
-        elif r.pronoun is not None and len(referents) == 1:
-            add("movement", r, people=referents, location=r.pronoun[1].lower())
-        elif r.single is not None:
-            group = referents = [r.single[0].capitalize()]
-            add("movement", r, people=group, location=r.single[1].lower())
-        for kind in ("pickup", "drop"):
-            if (m := getattr(r, kind)) is not None:
-                referents = [m[0].capitalize()]
-                add(kind, r, people=referents, obj=m[1].lower())
-        if r.transfer is not None:
-            source, target = r.transfer[0].capitalize(), r.transfer[2].capitalize()
-            referents = [target]
-            add("transfer", r, people=[source, target], obj=r.transfer[1].lower(), source=source, target=target)
-    return pd.DataFrame(out, columns=["context_id", "idx", "kind", "text", "position", "people", "location", "obj", "source", "target"])
+def _resolved(rows: DataFrame) -> DataFrame:
+    """Adds people (who moves), place and named: whether the row's movement is that of a name on its own.
+
+    ``assumed`` says which rows' movements are. What "they" and "he" stand for comes from
+    earlier rows alone: the last one or two names that moved (group), and the last ones that did
+    anything or were given something (referents).
+    """
+    before = Window.partitionBy("context_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    name = lambda form, k=0: F.initcap(F.lower(F.get(form, F.lit(k))))
+    both, alone = F.array(name("pair"), name("pair", 1)), F.array(name("single"))
+    grouped = rows.withColumn("group", F.last(F.when(F.col("pair").isNotNull(), both).when(F.col("assumed"), alone), ignorenulls=True).over(before))
+    theirs = F.col("pair").isNull() & F.col("they").isNotNull() & F.col("group").isNotNull()
+    moved = F.when(F.col("pair").isNotNull(), both).when(theirs, F.col("group")).when(F.col("assumed"), alone)
+    # What a row says last about someone counts: a thing given, put down, taken, then a movement.
+    said = F.coalesce(F.when(F.col("transfer").isNotNull(), F.array(name("transfer", 2))), F.when(F.col("drop").isNotNull(), F.array(name("drop"))), F.when(F.col("pickup").isNotNull(), F.array(name("pickup"))), moved)
+    told = grouped.withColumn("referents", F.last(said, ignorenulls=True).over(before))
+    his = F.col("pair").isNull() & ~theirs & F.col("pronoun").isNotNull() & F.coalesce(F.size("referents") == 1, F.lit(False))
+    own = F.col("pair").isNull() & ~theirs & ~his & F.col("single").isNotNull()
+    people = F.when(F.col("pair").isNotNull(), both).when(theirs, F.col("group")).when(his, F.col("referents")).when(own, alone)
+    place = F.when(F.col("pair").isNotNull(), F.get("pair", F.lit(2))).when(theirs, F.get("they", F.lit(1))).when(his, F.get("pronoun", F.lit(1))).when(own, F.get("single", F.lit(1)))
+    return told.withColumns({"named": own, "people": people, "place": F.lower(place)})
 
 
 def story_candidates(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text") -> DataFrame:
-    """All events of each context, with coreference. A context's matching sentences are folded in one group."""
-    ship(contexts.sparkSession)
-    return matched_sentences(sentence_offsets(contexts, id_col, text_col)).groupBy("context_id").applyInPandas(_fold, EVENTS)
+    """All events of each context, with coreference; numbered from 1 by place, a row's movement before what happens to things.
+
+    Coreference is a matter of windows over a context's matching sentences (see _resolved). Only a
+    sentence with a pronoun's movement beside a name's needs to know how earlier ones of its
+    kind came out: such contexts are resolved again until nothing changes, each time one more is settled at least.
+    """
+    rows = cut(matched_sentences(sentence_offsets(contexts, id_col, text_col)))
+    mixed = F.col("pair").isNull() & F.col("single").isNotNull() & (F.col("they").isNotNull() | F.col("pronoun").isNotNull())
+    found = _resolved(rows.withColumn("assumed", F.col("pair").isNull() & F.col("single").isNotNull() & ~mixed))
+    if not rows.where(mixed).isEmpty():
+        found = cut(found)
+        while not found.where("named <> assumed").isEmpty():
+            found = cut(_resolved(found.withColumn("assumed", F.col("named")).drop("named", "people", "place", "group", "referents")))
+    name, thing = lambda form, k=0: F.initcap(F.lower(F.get(form, F.lit(k)))), lambda form: F.lower(F.get(form, F.lit(1)))
+    kinds = "struct<kind:string,people:array<string>,location:string,obj:string,source:string,target:string>"
+
+    def event(there, kind, people, location=F.lit(None), obj=F.lit(None), source=F.lit(None), target=F.lit(None)):
+        return F.when(there, F.struct(F.lit(kind).alias("kind"), people.alias("people"), location.alias("location"), obj.alias("obj"), source.alias("source"), target.alias("target")).cast(kinds))
+
+    events = F.array_compact(F.array(
+        event(F.col("place").isNotNull(), "movement", F.col("people"), F.col("place")),
+        event(F.col("pickup").isNotNull(), "pickup", F.array(name("pickup")), obj=thing("pickup")),
+        event(F.col("drop").isNotNull(), "drop", F.array(name("drop")), obj=thing("drop")),
+        event(F.col("transfer").isNotNull(), "transfer", F.array(name("transfer"), name("transfer", 2)), obj=thing("transfer"), source=name("transfer"), target=name("transfer", 2)),
+    ))
+    each = found.select("context_id", "position", F.col("sentence").alias("text"), F.posexplode(events).alias("at", "e"))
+    idx = F.row_number().over(Window.partitionBy("context_id").orderBy("position", "at"))
+    return each.select("context_id", idx.alias("idx"), "e.kind", "text", "position", "e.people", "e.location", "e.obj", "e.source", "e.target")
 
 
 def densest_block(events: DataFrame, gap: int = GAP) -> DataFrame:

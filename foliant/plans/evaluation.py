@@ -55,9 +55,9 @@ def batch_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is what the assistant said last to be found in earlier turns' openings? Gold: the last turn's first eight characters."""
+    """Is what the assistant said last to be found in earlier turns' openings of 160 characters? Gold: the whole last turn."""
     rows = V.turns(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda t: t["text"]).alias("said"))
-    runs = rows.select("conv_id", F.slice("said", F.lit(1), F.size("said") - 1).alias("turns"), F.substring(F.element_at("said", -1), 1, 8).alias("gold_answer"), (F.size("said") % 2 == 0).alias("correct"), F.least(F.size("said"), F.lit(6)).alias("n_turns"))
+    runs = rows.select("conv_id", F.slice("said", F.lit(1), F.size("said") - 1).alias("turns"), F.element_at("said", -1).alias("gold_answer"), (F.size("said") % 2 == 0).alias("correct"), F.least(F.size("said"), F.lit(6)).alias("n_turns"))
     return E.retention(runs, ["n_turns"], 160).withColumns({c: F.round(c, 6) for c in ("retention", "accuracy", "gap_points")})
 
 
@@ -193,7 +193,7 @@ ORACLES = {
           count(*) FILTER (source_benchmark = 'b1' AND correct) AS b1_n_correct FROM runs WHERE source_benchmark IN ('b0', 'b1') GROUP BY 1""",
     "conversation_retention": """
         WITH g AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn) AS said FROM conversations GROUP BY 1),
-        r AS (SELECT least(len(said), 6) AS n_turns, lower(said[-1][1:8]) AS gold, said[1:len(said) - 1] AS t, len(said) % 2 = 0 AS correct FROM g),
+        r AS (SELECT least(len(said), 6) AS n_turns, lower(said[-1]) AS gold, said[1:len(said) - 1] AS t, len(said) % 2 = 0 AS correct FROM g),
         k AS (SELECT *, length(gold) > 0 AND len(list_filter(t, lambda x: contains(lower(x[1:160]), gold))) > 0 AS kept FROM r)
         SELECT n_turns, count(*) AS n, count(*) FILTER (kept) AS n_retained, count(*) FILTER (correct) AS n_correct, round(count(*) FILTER (kept)::DOUBLE / count(*), 6) AS retention, round(count(*) FILTER (correct)::DOUBLE / count(*), 6) AS accuracy,
           round(100 * (count(*) FILTER (kept)::DOUBLE / count(*) - count(*) FILTER (correct)::DOUBLE / count(*)), 6) AS gap_points FROM k GROUP BY 1""",

@@ -70,9 +70,9 @@ def turn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turn_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question for each conversation: what the user said first."""
     first = turns(spark, sf_dir).where("role = 'user'").groupBy("conv_id").agg({"turn": "min"}).withColumnRenamed("min(turn)", "turn")
-    return turns(spark, sf_dir).join(first, ["conv_id", "turn"]).selectExpr("conv_id AS question_id", "conv_id AS context_id", "substring(coalesce(text, ''), 1, 200) AS question")
+    return turns(spark, sf_dir).join(first, ["conv_id", "turn"]).selectExpr("conv_id AS question_id", "conv_id AS context_id", "coalesce(text, '') AS question")
 
 
 #: The same for DuckDB.
 TURN_PAGES_SQL = "SELECT conv_id AS context_id, turn + 1 AS page_id, coalesce(text, '') AS text FROM conversations"
-TURN_QUESTIONS_SQL = "SELECT conv_id AS question_id, conv_id AS context_id, substring(coalesce(text, ''), 1, 200) AS question FROM conversations JOIN (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY 1) USING (conv_id, turn)"
+TURN_QUESTIONS_SQL = "SELECT conv_id AS question_id, conv_id AS context_id, coalesce(text, '') AS question FROM conversations JOIN (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY 1) USING (conv_id, turn)"

@@ -231,3 +231,16 @@ def test_verbatim_passages(spark, limit):
     items = spark.createDataFrame([(7, "two three four five six seven eight nine"), (8, "TWO"), (9, "two three four five six seven eight"), (10, "wo three"), (11, None)], "item_id int, text string")
     assert {(r["item_id"], r["doc_id"]) for r in E.verbatim_passages(docs, items, broadcast_chars=limit).collect()} == {(7, 1), (8, 1), (8, 2), (9, 1)}
     assert E.verbatim_passages(docs, items.limit(0)).count() == 0
+
+
+def test_story_coreference_of_mixed_sentences(spark):
+    """A sentence with a pronoun's and a name's movement: the pronoun's counts if one person is meant, else the name's."""
+    rows = [(1, "Mary went to the park. He moved to the office and John went to the school. They went to the garden."),
+            (2, "Mary and John went to the park. He moved to the office and Fred went to the school. They went to the garden. She went to the cinema."),
+            (3, "They went to the park. Bill gave the milk to Jeff. He moved to the office."), (4, None)]
+    got = S.story_candidates(spark.createDataFrame(rows, "context_id long, text string")).orderBy("context_id", "idx").collect()
+    assert [(r["context_id"], r["idx"], r["kind"], r["people"], r["location"]) for r in got] == [
+        ("1", 1, "movement", ["Mary"], "park"), ("1", 2, "movement", ["Mary"], "office"), ("1", 3, "movement", ["Mary"], "garden"),
+        ("2", 1, "movement", ["Mary", "John"], "park"), ("2", 2, "movement", ["Fred"], "school"), ("2", 3, "movement", ["Fred"], "garden"), ("2", 4, "movement", ["Fred"], "cinema"),
+        ("3", 1, "transfer", ["Bill", "Jeff"], None), ("3", 2, "movement", ["Jeff"], "office"),
+    ]
