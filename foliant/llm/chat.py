@@ -58,11 +58,15 @@ def _known(layouts: Sequence[Layout]) -> list[str]:
 
 
 def fingerprint(record: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
-    """A hash of a JSON record's nested field paths, of those that any layout knows: other fields don't matter, nor does order."""
-    listed = sorted({x.turns[0] for x in layouts if x.turns})
+    """A hash of a JSON record's nested field paths, of those that any layout knows: other fields don't matter, nor does order.
+
+    The paths of a list are those of all its elements, so a field that its first turn lacks still counts.
+    """
+    listed = sorted({(x.turns[0], f) for x in layouts if x.turns for f in x.turns[1:]})
     keys = lambda json: F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
-    below = lambda f: F.transform(keys(F.get_json_object(record, f"$.{f}[0]")), lambda k: F.concat(F.lit(f"{f}[]."), k))
-    inner = [below(f) for f in listed]
+    lists = F.from_json(record, ", ".join(f"`{f}` array<map<string,string>>" for f in sorted({f for f, _ in listed})), _BIG)
+    has = lambda f, n: F.exists(lists[f], lambda t: F.coalesce(F.map_contains_key(t, n), F.lit(False)))
+    inner = [F.when(has(f, n), F.array(F.lit(f"{f}[].{n}"))).otherwise(F.array().cast("array<string>")) for f, n in listed]
     found = F.array_intersect(F.concat(keys(record), *inner), F.array(*[F.lit(p) for p in _known(layouts)]))
     return F.xxhash64(F.array_join(F.array_sort(found), "\n"))
 
@@ -97,7 +101,8 @@ def canonical_turns(records: DataFrame, record_col: str = "record", layouts: Seq
     The fingerprint of a record's field paths selects the mapping. Null texts count as empty,
     null roles too; missing optional fields give no turn. A record that no mapping fits, is null or
     isn't JSON keeps its row, with null layout and turns. An empty list of turns has no
-    element to show its fields and fits no mapping either.
+    element to show its fields and fits no mapping either. Columns named layout and turns are replaced,
+    all others stay. No rows give no rows.
     """
     variants = [(x.name, F.xxhash64(F.lit("\n".join(sorted(v))))) for x in layouts for v in x.paths()]
     marked = records.withColumn("__print", fingerprint(F.col(record_col), layouts))
@@ -147,16 +152,45 @@ def format_chat(turned: DataFrame, loss_roles: Sequence[str] = ("assistant",)) -
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
-    """Adds turns_read (array of role, text) and loss_text, both unescaped and taken from formatted and loss alone."""
-    parts = F.split(F.col("formatted"), r"<\|im_start\|>")
+    """Adds turns_read (array of role, text) and loss_text, both unescaped and taken from formatted and loss alone.
+
+    The text is split at its turn starts once; what is under the mask is cut from the turn where its span starts
+    and lies, as format_chat's spans do, within it. Null formatted or loss give nulls, an empty text no
+    turns. Columns named turns_read and loss_text are replaced, all others stay.
+    """
     body = lambda p: F.substring(p, F.locate("\n", p) + 1, F.length(p) - F.locate("\n", p) - (len(END) + 1))
-    turns = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(unescape(F.replace(F.substring_index(p, "\n", 1), F.lit("&#10;"), F.lit("\n"))).alias("role"), unescape(body(p)).alias("text")))
-    under = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    return formatted.withColumn("turns_read", turns).withColumn("loss_text", under)
+    turns = F.transform(F.slice("__parts", 2, F.size("__parts")), lambda p: F.struct(unescape(F.replace(F.substring_index(p, "\n", 1), F.lit("&#10;"), F.lit("\n"))).alias("role"), unescape(body(p)).alias("text")))
+    starts = F.aggregate("__parts", F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p) + len(START)))
 
+    def under(p: Column, k: Column) -> Column:
+        at = F.get("__starts", k)
+        spans = F.filter("loss", lambda s: (s["start"] >= at) & (s["start"] < at + F.length(p)))
+        return F.transform(spans, lambda s: unescape(F.substring(p, (s["start"] - at + 1).cast("int"), s["length"].cast("int"))))
 
-def conversation_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, record): rows by turn as JSON records of the messages layout. Null roles and texts count as empty; equal turns go by role, then text; null turns come last."""
+    placed = formatted.withColumn("__parts", F.split(F.col("formatted"), r"<\|im_start\|>")).withColumn("__starts", starts)
+    return placed.withColumn("turns_read", turns).withColumn("loss_text", F.array_join(F.flatten(F.transform("__parts", under)), "")).drop("__parts", "__starts")
+
+
+def conversation_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", mixed: bool = False) -> DataFrame:
+    """(conv_id, record): rows by turn as JSON records of the messages layout or, if ``mixed``, of all layouts that can hold them.
+
+    Mixed records are dealt by a hash of the id: conversations of the roles user, assistant and system over the three
+    layouts with a list of turns, those that are a user's and an assistant's turn, after a system's or not, over
+    the four with a field for each too; other roles keep to messages, as renaming them could not be undone. Null
+    roles and texts count as empty; equal turns go by role, then text; null turns come last; rows with a null
+    id are one conversation. No rows give no rows.
+    """
     turn = F.struct(F.col(turn_col).isNull().alias("late"), F.col(turn_col).alias("at"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("content"))
     grouped = rows.groupBy(F.col(id_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    return grouped.select("conv_id", F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("record"))
+    as_list = lambda names, renamed: F.transform("t", lambda x: F.struct((F.coalesce(F.element_at(F.create_map(*[F.lit(y) for kv in renamed.items() for y in kv]), x["role"]), x["role"]) if renamed else x["role"]).alias(names[0]), x["content"].alias(names[1])))
+    messages = F.to_json(F.struct(as_list(("role", "content"), {}).alias("messages")))
+    if not mixed:
+        return grouped.select("conv_id", messages.alias("record"))
+    out = [messages, F.to_json(F.struct(as_list(("from", "value"), {"user": "human", "assistant": "gpt"}).alias("conversations"))), F.to_json(F.struct(as_list(("speaker", "text"), {"user": "human", "assistant": "bot"}).alias("turns")))]
+    said = lambda role: F.get(F.filter("t", lambda x: x["role"] == role), F.lit(0))["content"]
+    for names in (("system", "instruction", "output"), ("system", "prompt", "completion"), ("system", "prompt", "response"), ("context", "question", "answer")):
+        out.append(F.to_json(F.struct(*[said(role).alias(n) for role, n in zip(("system", "user", "assistant"), names, strict=True)])))
+    roles = F.array_join(F.transform("t", lambda x: x["role"]), ",")
+    dealt = F.when(roles.isin("user,assistant", "system,user,assistant"), F.pmod(F.xxhash64("conv_id"), F.lit(len(out)))).when(~F.exists("t", lambda x: ~x["role"].isin("user", "assistant", "system")), F.pmod(F.xxhash64("conv_id"), F.lit(3))).otherwise(0)
+    record = F.coalesce(*[F.when(F.col("__dealt") == k, x) for k, x in enumerate(out)])
+    return grouped.withColumn("__dealt", dealt).select("conv_id", record.alias("record"))

@@ -407,6 +407,26 @@ def test_op8_layouts(spark):
     assert chat.conversation_records(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_op8_first_turn_without_a_field(spark):
+    records = [(1, '{"messages":[{"role":"system"},{"role":"user","content":"a"},{"content":"b","role":"assistant"}]}'), (2, '{"messages":[{"role":"user"}]}')]
+    got = {r["id"]: r for r in chat.canonical_turns(spark.createDataFrame(records, "id int, record string")).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("system", ""), ("user", "a"), ("assistant", "b")] and got[2]["turns"] is None
+
+
+def test_op8_mixed_layouts(spark):
+    """Conversations dealt over all seven layouts come back as they were; columns of other names stay."""
+    shapes = [["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant", "user"], ["human", "gpt"], ["assistant"], ["user", "user"]]
+    rows = [(c, t, r, f"{r} {c} {t} <|im_end|> &") for c in range(120) for t, r in enumerate(shapes[c % 6])] + [(500, t, ("user", "assistant")[t % 2], f"said {t} é") for t in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turned = chat.canonical_turns(chat.conversation_records(df, mixed=True).withColumns({"part": F.lit("x"), "turns": F.lit(1), "loss_text": F.lit(2)}))
+    assert {r["layout"] for r in turned.select("layout").distinct().collect()} == {x.name for x in chat.LAYOUTS}
+    out = {r["conv_id"]: r for r in chat.read_chat(chat.format_chat(turned)).collect()}
+    for c, r in out.items():
+        want = [(y[2], y[3]) for y in rows if y[0] == c]
+        assert [(t["role"], t["text"]) for t in r["turns_read"]] == want and r["part"] == "x"
+        assert r["loss_text"] == "".join(x for who, x in want if who == "assistant")
+
+
 def test_op9_round_trip(spark, tmp_path):
     big = "<p>é日本</p>" * 200
     rows = [(1, "http://a/ b\n", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", big + "x"), (None, "u", big), (7, "http://é", "y" * 3_000_000)]
