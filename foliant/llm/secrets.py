@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,8 @@ KINDS = ("assign", "access", "hex", "guess")
 CONTEXT = re.compile(r"""(?i:(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth)(?:[_-][A-Za-z0-9]++)*+(?![A-Za-z0-9_]))["']?(?:\x20*[:=]\x20*|\x20(?i:is)\x20)(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"'<>(){}]{6,}))""", re.ASCII)
 #: Decimal digits of guesses from which a value counts as a secret.
 LOG10_GUESSES = 8.0
+#: Most frequent words of the corpus that a dictionary takes, and the letters of its longest word.
+CORPUS_WORDS, LONGEST = 30_000, 20
 
 # Common words and passwords by rank, date shapes, rows of keys.
 WORDS = (
@@ -31,34 +35,58 @@ WORDS = (
 ).split()
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:(?:19|20)\d\d|\d\d)")
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
-_RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("4310$5@7!", "aeiossati")
 _NEXT = {(a, b) for row in KEY_ROWS for a, b in zip(row, row[1:], strict=False)} | {(b, a) for row in KEY_ROWS for a, b in zip(row, row[1:], strict=False)}
 _NEXT |= {(a, b) for up, low in zip(KEY_ROWS[:3], KEY_ROWS[1:4], strict=True) for k, b in enumerate(low) for a in up[k + 1 : k + 3] if k + 1 < len(up)}
 
 
+@dataclass(frozen=True)
+class Dictionary:
+    """Words by the rank at which a guesser tries them: the best rank that any list gives."""
+
+    rank: dict[str, int]
+
+    @classmethod
+    def of(cls, *lists: Iterable[str]) -> Dictionary:
+        rank: dict[str, int] = {}
+        for words in (WORDS, *lists):
+            for k, word in enumerate(words):
+                if 2 <= len(word) <= LONGEST and rank.get(word, k + 2) > k + 1:
+                    rank[word] = k + 1
+        return cls(rank)
+
+
+COMMON = Dictionary.of()
+
+
+def vocabulary_words(path: str) -> list[str]:
+    """Whole words of a public tokenizer's vocabulary (a file with word ends), in the order of their ids, which is about that of their frequency."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    return [w[:-4] for w, _ in sorted(vocabulary.items(), key=lambda x: x[1]) if w.endswith("</w>") and w[:-4].isalpha() and w[:-4].isascii()]
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS) -> list[str]:
+    """The ``most`` most frequent words (runs of letters, in lower case, of 3 to LONGEST letters) of all whole texts, ties by the word. Counted on Spark; only they come to the driver."""
+    split = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^a-z\x{80}-\x{10FFFF}]+")
+    each = docs.select(F.explode_outer(split).alias("word")).where(F.length("word").between(3, LONGEST))
+    return [r["word"] for r in each.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()]
+
+
 def _alphabet(value: str) -> int:
     return max(2, 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value))
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of ``value`` needs.
-
-    Segments: a known word (its rank; more if capitals or look-alike digits vary it), a date,
-    a unit repeated, a walk over neighbouring keys or letters, or a brute-force span over the
-    value's own alphabet. Every segment after the first costs a digit more, for its place. The
-    minimum is found from left to right over the whole value.
-    """
+def _segments(value: str, words: Dictionary) -> list[list[tuple[int, float]]]:
+    """By end: (start, log10 of guesses) of what is known about parts of a value."""
     n, low = len(value), value.lower()
-    brute = math.log10(_alphabet(value))
-    plain = low.translate(_LEET)
+    brute, plain = math.log10(_alphabet(value)), low.translate(_LEET)
     by_end: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for s in range(n):
-        for e in range(s + 2, min(n, s + _LONGEST) + 1):
+        for e in range(s + 2, min(n, s + LONGEST) + 1):
             for text, more in ((low[s:e], 0.0), (plain[s:e], 0.6)):
-                if text in _RANK:
-                    by_end[e].append((s, math.log10(_RANK[text] + 1) + more + (0.0 if value[s:e] == low[s:e] else 0.4)))
+                if text in words.rank:
+                    by_end[e].append((s, math.log10(words.rank[text] + 1) + more + (0.0 if value[s:e] == low[s:e] else 0.4)))
                     break
         if low[s].isdigit():
             m = DATE.match(low, s)
@@ -82,6 +110,18 @@ def guess_cost(value: str) -> float:
             if times * unit >= max(3, 2 * unit):
                 by_end[s + times * unit].append((s, unit * brute + math.log10(times)))
             s = max(s + 1, e - unit + 1)
+    return by_end
+
+
+def guess_cost(value: str, words: Dictionary = COMMON) -> float:
+    """log10 of the guesses that the cheapest segmentation of ``value`` needs.
+
+    Segments: a known word (its rank; more if capitals or look-alike digits vary it), a date,
+    a unit of up to 8 characters repeated, a walk over neighbouring keys or letters, or a brute-force span over the
+    value's own alphabet. Repeats are taken as long as they go, walks from where they start. Every segment after the
+    first costs a digit more, for its place. The minimum is found from left to right over the whole value.
+    """
+    n, brute, by_end = len(value), math.log10(_alphabet(value)), _segments(value, words)
     best, spanned = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
     for e in range(1, n + 1):
         spanned[e] = min(spanned[e - 1], best[e - 1] + (e > 1)) + brute
@@ -89,7 +129,7 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def secret_spans(text: str | None, log10_guesses: float = LOG10_GUESSES) -> list[tuple[str, int, int]]:
+def secret_spans(text: str | None, log10_guesses: float = LOG10_GUESSES, words: Dictionary = COMMON) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as in KINDS.
 
     assign, access and hex are the fixed patterns, leftmost and non-overlapping per kind; guess is
@@ -103,29 +143,32 @@ def secret_spans(text: str | None, log10_guesses: float = LOG10_GUESSES) -> list
     at = 0
     while m := CONTEXT.search(text, at):
         group = m.lastindex
-        secret = guess_cost(m[group]) >= log10_guesses
+        secret = guess_cost(m[group], words) >= log10_guesses
         if secret:
             out.append(("guess", *m.span(group)))
         at = m.end() if secret else m.start(group)  # a weak value may be the next context's name
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def _scan(log10_guesses: float):
+def _scan(log10_guesses: float, words: Dictionary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            found = [[{"kind": k, "start": s, "end": e} for k, s, e in secret_spans(t.as_py(), log10_guesses)] for t in b.column(1)]
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in secret_spans(t.as_py(), log10_guesses, words)] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 
     return run
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log10_guesses: float = LOG10_GUESSES) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log10_guesses: float = LOG10_GUESSES, words: Dictionary | None = None) -> DataFrame:
     """(doc_id, spans: array of kind, start, end) of every whole text; offsets in code points, end exclusive.
 
-    No shuffle: each text is scanned where it is read. Null counts as empty; null ids and
+    Guess costs use ``words`` or, if none are given, common passwords and the most frequent words of all the
+    texts (corpus_words). The scan itself doesn't shuffle: each text is scanned where it is read, and the dictionary, of
+    a bounded number of words, goes with the task. Null counts as empty; null ids and
     repeated rows are answered like any row; other columns are ignored; no rows give no rows.
     """
     ship(docs.sparkSession)
+    words = words or Dictionary.of(corpus_words(docs, text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan(log10_guesses), f"doc_id {dict(rows.dtypes)['doc_id']}, spans array<struct<kind:string,start:long,end:long>>")
+    return rows.mapInArrow(_scan(log10_guesses, words), f"doc_id {dict(rows.dtypes)['doc_id']}, spans array<struct<kind:string,start:long,end:long>>")
