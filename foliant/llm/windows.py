@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import xxhash
 
 #: Bytes of text that are turned into arrays at once; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes up to which a word is hashed with all others at once; longer ones one by one by XXH3.
+LONG = 64
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -23,6 +26,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_PLACES = mix(np.arange(1, LONG + 2, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     global _powers
@@ -61,12 +68,30 @@ class Words:
         total = np.zeros(len(buffer) + 1, np.uint64)
         np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[: len(buffer)], out=total[1:])
         self.hash = mix((total[ends] - total[starts]) * down[starts])
+        self._buffer, self._starts, self._ends = buffer, starts, ends
+        self._hash_long(self.hash, 1)
         bounds = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         self.doc = np.searchsorted(bounds, starts, side="right")
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
         self.pos = np.arange(len(starts)) - self.first[self.doc]
         self.count = np.diff(self.first)
 
+    def _hash_long(self, hashes: np.ndarray, seed: int) -> None:
+        for k in np.flatnonzero(self._ends - self._starts > LONG):
+            hashes[k] = xxhash.xxh3_64_intdigest(self._buffer[self._starts[k] : self._ends[k]].tobytes(), seed)
+
+    def second(self) -> np.ndarray:
+        """A second hash of each word, of other values for bytes and another base: with hash, 128 bits."""
+        if not len(self._starts):
+            return np.zeros(0, np.uint64)
+        sizes = self._ends - self._starts
+        begins = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) - np.repeat(begins, sizes)
+        values = _VALUES[self._buffer[~_SPACE[self._buffer]]] * _PLACES[np.minimum(at, LONG)]
+        hashes = mix(np.add.reduceat(values, begins) ^ sizes.astype(np.uint64))
+        self._hash_long(hashes, 2)
+        return hashes
+
     def windows(self, n: int, known: dict[int, np.ndarray] | None = None) -> np.ndarray:
         """Hashes of the n words from each word on (not minding ends of texts), by doubling: n words are two runs of ceil(n / 2), which may share one."""
         known = {} if known is None else known

@@ -83,6 +83,31 @@ def test_op1_runs_double(spark):
     assert (2, 5, 85, 52) in got and (3, 0, 14, 13) in got and not [x for x in got if x[0] == 4]
 
 
+def test_op1_repeated_and_null_ids(spark):
+    """Rows of one id with other texts are looked at by themselves; a smaller id's words go from neither."""
+    words = [f"q{k}" for k in range(60)]
+    copy, own = " ".join(words[:20] + ["x"] * 3), " ".join(["y"] * 2 + words[30:50] + ["z"] * 14)
+    rows = [(5, " ".join(words)), (7, copy), (7, own), (7, own), (7, "none of it"), (None, " ".join(words[40:])), (None, "other " + " ".join(words[45:])), (None, None)]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), parts=3).collect())
+    gone = {(7, copy): set(range(20)), (7, own): set(range(2, 22)), (5, rows[0][1]): set(range(40, 60))}
+    want = []
+    for d, t in rows:
+        w = (t or "").split()
+        out = gone.get((d, t), set())
+        want.append((d or 0, len(w), len(out), " ".join(x for k, x in enumerate(w) if k not in out)))
+    assert got == sorted(want)
+
+
+def test_op1_long_text_and_long_words(spark):
+    """A text of many blocks and words of thousands of characters, alike but for one place."""
+    rng = random.Random(12)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(700_000)]
+    big = ["ab" * 2000 + c for c in "pqrstuvwxyzabcd"]
+    rows = [(1, " ".join(base)), (2, " ".join(base[600_000:600_050] + big)), (3, " ".join(big[:-1] + ["ab" * 2000 + "!"])), (4, " ".join(base[-13:]))]
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 50, 3: 14, 4: 13}
+
+
 def test_op1_odd_rows(odd):
     assert substrings.remove_repeated_windows(odd).count() == 6
     assert substrings.remove_repeated_windows(odd.limit(0)).count() == 0
@@ -344,6 +369,54 @@ def test_op6_guess_cost_orders_strength():
     assert secrets.guess_cost("k7Qz") <= 4 * np.log10(62) + 1e-9
 
 
+def plain_guess_cost(value: str, words: secrets.Dictionary) -> float:
+    """The least cost over all segmentations, one after the other."""
+    low, n = value.lower(), len(value)
+    digit = np.log10(max(2, 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value)))
+    steps = [(low[k], low[k + 1]) in secrets._NEXT for k in range(n - 1)]
+
+    def cost(s: int, e: int) -> float:
+        part, found = low[s:e], [(e - s) * digit]
+        look = part.translate(str.maketrans("4310$5@7!", "aeiossati"))
+        if e - s >= 2 and part in words.rank:
+            found.append(np.log10(words.rank[part] + 1) + 0.4 * (value[s:e] != part))
+        elif e - s >= 2 and look in words.rank:
+            found.append(np.log10(words.rank[look] + 1) + 0.6 + 0.4 * (value[s:e] != part))
+        m = secrets.DATE.match(low, s)
+        if m and m.end() == e:
+            found.append(np.log10(365 * 120 if e - s > 4 else 120))
+        if e - s >= 3 and all(steps[s : e - 1]) and not (s and steps[s - 1]):
+            found.append(np.log10(5 * 13 * 2 * (e - s)))
+        for unit in range(1, min(8, n // 2) + 1):
+            times, left = divmod(e - s, unit)
+            if not left and times >= 2 and e - s >= 3 and part == part[:unit] * times and not (s and low[s - 1] == low[s - 1 + unit]) and low[e : e + unit] != part[:unit]:
+                found.append(unit * digit + np.log10(times))
+        return min(found)
+
+    return min(sum(cost(s, e) for s, e in zip((0, *cut), (*cut, n), strict=True)) + len(cut) for r in range(n) for cut in combinations(range(1, n), r))
+
+
+def test_op6_guess_cost_is_the_minimum():
+    rng = random.Random(11)
+    words = secrets.Dictionary.of(["chocolate", "love", "header", "it"])
+    parts = ["love", "L0ve", "pass", "1999", "31-12", "aaa", "abab", "qwe", "x9", "K", "$", "it", "123", "2001-02-03"]
+    for _ in range(250):
+        value = "".join(rng.choice(parts) for _ in range(4))[: rng.randrange(1, 11)]
+        assert secrets.guess_cost(value, words) == pytest.approx(plain_guess_cost(value, words)), value
+
+
+def test_op6_dictionary(spark, odd):
+    """Words that the corpus uses often are no secrets; what is not made of them is."""
+    docs = spark.createDataFrame([(k, f"everything said about the chocolate header number {k}") for k in range(30)] + [(99, "secret: everything token: everythinq7Zk_x passwd is Chocolate"), (100, None)], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["spans"]] for r in secrets.scan_secrets(docs).collect()}
+    assert [x for x in got[99] if x[0] == "guess"] == [("guess", 26, 41)] and got[100] == []
+    assert secrets.corpus_words(docs, most=3) == ["chocolate", "everything", "about"]
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    known = secrets.Dictionary.of(secrets.vocabulary_words(path))
+    assert len(known.rank) > 20_000 and secrets.guess_cost("everything", known) < 4 < secrets.guess_cost("correcthorsebatterystaple", known) < 20
+    assert secrets.corpus_words(odd.limit(0)) == []
+
+
 def alnum(text: str | None) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
