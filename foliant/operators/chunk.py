@@ -103,13 +103,18 @@ def page_contexts(contexts: DataFrame, page_tokens: int, overlap_tokens: int = 0
     return rows.withColumns({"tokens_est": T.tokens_est(F.col("text")), "chars": F.length("text"), "preview": T.preview(F.col("text"), 180)})
 
 
-def sentence_units(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text", longest: int = 1200) -> DataFrame:
-    """(context_id, idx, text): sentences and lines, longer ones in slices of ``longest``; idx from 1."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), T.SENTENCE), lambda s: T.strip(s)), lambda s: s != "")
+def unit_array(text: Column, longest: int = 1200) -> Column:
+    """A text's sentences and lines in order, longer ones in slices of ``longest``; an empty one if there are none."""
+    text = F.coalesce(text, F.lit(""))
+    parts = F.filter(F.transform(F.split(text, T.SENTENCE), lambda s: T.strip(s)), lambda s: s != "")
     sliced = F.transform(parts, lambda s: F.when(F.length(s) <= longest, F.array(s)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / longest).cast("int")), lambda k: T.strip(F.substring(s, k * longest + 1, F.lit(longest))))))
     units = F.filter(F.flatten(sliced), lambda s: s != "")
-    whole = F.when(F.size(units) == 0, F.array(T.strip(F.coalesce(text_col, F.lit(""))))).otherwise(units)
-    return contexts.select(F.col(id_col).alias("context_id"), F.posexplode(whole).alias("k", "text")).select("context_id", (F.col("k") + 1).alias("idx"), "text")
+    return F.when(F.size(units) == 0, F.array(T.strip(text))).otherwise(units)
+
+
+def sentence_units(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text", longest: int = 1200) -> DataFrame:
+    """(context_id, idx, text): sentences and lines, longer ones in slices of ``longest``; idx from 1."""
+    return contexts.select(F.col(id_col).alias("context_id"), F.posexplode_outer(unit_array(F.col(text_col), longest)).alias("k", "text")).select("context_id", (F.col("k") + 1).alias("idx"), "text")
 
 
 def window_chunks(contexts: DataFrame, chars: int = 12_000, overlap: int = 600, id_col: str = "context_id", text_col: str = "text") -> DataFrame:
