@@ -83,16 +83,16 @@ def sliding_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def story_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of each story that bear on a question, the thirty best."""
+    """Sentences of each story that bear on a question, the 220 best."""
     story = _story(spark, sf_dir)
     asked = story.select(F.col("context_id").cast("string").alias("context_id"), F.col("context_id").alias("question_id"), F.lit("Where was Mary before the kitchen with the milk?").alias("question"))
-    return R.fact_evidence(story.select(F.col("context_id").cast("string").alias("context_id"), "text"), asked, 30)
+    return R.fact_evidence(story.select(F.col("context_id").cast("string").alias("context_id"), "text"), asked, 220)
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of turns around the words of a conversation's first question and their relatives."""
     domain = spark.createDataFrame([("the", ["that", "this"]), ("der", ["die", "das"])], "term string, expansions array<string>")
-    return R.event_windows(V.turn_pages(spark, sf_dir), V.turn_questions(spark, sf_dir), domain, 10).select("question_id", "page_id", "score", F.length("window").alias("chars"))
+    return R.event_windows(V.turn_pages(spark, sf_dir), V.turn_questions(spark, sf_dir), domain).select("question_id", "page_id", "score", F.length("window").alias("chars"))
 
 
 def story_trace(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def paired_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.runs(spark, sf_dir)
-    by = {f"b{k}": E.batch_stats(rows.where(F.col("source_benchmark") == f"b{k}"), (("model",),)).select("model", "n_total", "n_correct") for k in (0, 1)}
+    by = {f"b{k}": E.batch_stats(rows.where(F.col("source_benchmark") == f"b{k}"), (("model",),)).select("model", "n_total", "n_correct") for k in range(5)}
     return E.compare_batches(by, ["model"], ["n_total", "n_correct"])
 
 
@@ -188,9 +188,7 @@ ORACLES = {
         p AS (SELECT b.model, o.arm, b.score AS bs, o.score AS os, b.correct AS bc, o.correct AS oc FROM one b JOIN one o USING (task) WHERE b.arm = 'click' AND o.arm <> 'click')
         SELECT arm, model, count(*) AS n_pairs, count(*) FILTER (bs > os) AS wins, count(*) FILTER (bs < os) AS losses, count(*) FILTER (bs = os) AS ties, count(*) FILTER (bc AND oc) AS both, count(*) FILTER (bc AND NOT oc) AS base_only,
           count(*) FILTER (NOT bc AND oc) AS other_only, count(*) FILTER (NOT bc AND NOT oc) AS neither, 'click' AS base FROM p GROUP BY GROUPING SETS ((arm), (arm, model))""",
-    "batch_comparison": f"""{_R}
-        SELECT model, count(*) FILTER (source_benchmark = 'b0') AS b0_n_total, count(*) FILTER (source_benchmark = 'b0' AND correct) AS b0_n_correct, count(*) FILTER (source_benchmark = 'b1') AS b1_n_total,
-          count(*) FILTER (source_benchmark = 'b1' AND correct) AS b1_n_correct FROM runs WHERE source_benchmark IN ('b0', 'b1') GROUP BY 1""",
+    "batch_comparison": f"{_R} SELECT model, " + ", ".join(f"count(*) FILTER (source_benchmark = 'b{k}') AS b{k}_n_total, count(*) FILTER (source_benchmark = 'b{k}' AND correct) AS b{k}_n_correct" for k in range(5)) + " FROM runs GROUP BY 1",
     "conversation_retention": """
         WITH g AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn) AS said FROM conversations GROUP BY 1),
         r AS (SELECT least(len(said), 6) AS n_turns, lower(said[-1]) AS gold, said[1:len(said) - 1] AS t, len(said) % 2 = 0 AS correct FROM g),

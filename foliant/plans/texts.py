@@ -129,7 +129,7 @@ def count_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grep_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.grep_windows(V.contexts(spark, sf_dir), "token", 40, 3).select("context_id", "start", "end", F.length("window").alias("chars"))
+    return R.grep_windows(V.contexts(spark, sf_dir), "token", 40).select("context_id", "start", "end", F.length("window").alias("chars"))
 
 
 def sampled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +137,9 @@ def sampled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbour_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = V.turn_pages(spark, sf_dir)
-    return R.pages_around(pages, pages.where("page_id % 4 = 0"), 1).select("context_id", "page_id")
+    """The turns that question_search finds, with those beside them."""
+    found = question_search(spark, sf_dir).select(F.col("question_id").alias("context_id"), "page_id")
+    return R.pages_around(V.turn_pages(spark, sf_dir), found, 1).select("context_id", "page_id")
 
 
 def task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +206,6 @@ ORACLES = {
         SELECT context_id, 1 AS page_id, hit, k AS line_no, lines[k] AS line, k = i AS is_hit FROM (SELECT *, unnest(range(greatest(1, i - 1), least(len(lines), i + 1) + 1)) AS k FROM c)""",
     "count_documents": "SELECT doc_id AS context_id, len(regexp_extract_all(text, '[0-9]+')) AS n FROM documents",
     "sampled_turns": "WITH p AS (SELECT context_id, page_id, max(page_id) OVER (PARTITION BY context_id) AS n FROM (" + V.TURN_PAGES_SQL + ")) SELECT context_id, page_id FROM p WHERE n <= 3 OR page_id IN (1, round_even((n - 1) / 2.0, 0)::INT + 1, n)",
-    "neighbour_turns": "WITH p AS (" + V.TURN_PAGES_SQL + ") SELECT DISTINCT a.context_id, a.page_id FROM p a JOIN p b ON a.context_id = b.context_id AND b.page_id % 4 = 0 AND a.page_id BETWEEN b.page_id - 1 AND b.page_id + 1",
     "task_table": f"{_PAIRS}, e AS (SELECT CASE WHEN place = 1 THEN ['context'] ELSE [] END || CASE WHEN turn % 2 = 0 THEN [] ELSE ['scorer'] END AS e FROM p) SELECT rule, count(*) AS n FROM (SELECT unnest(CASE WHEN len(e) = 0 THEN ['valid'] ELSE e END) AS rule FROM e) GROUP BY 1",
     "text_terms": f"WITH t AS (SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest(list_filter({_TOK('text')}, lambda x: x NOT IN ({_STOP}))) AS term FROM documents) GROUP BY ALL) SELECT lang, term, n FROM t QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) <= 20",
     "sentence_units": """
@@ -213,3 +213,4 @@ ORACLES = {
         s AS (SELECT context_id, unnest(CASE WHEN len(p) = 0 THEN [''] ELSE flatten(list_transform(p, lambda s: list_filter(list_transform(range(0, (length(s) - 1) // 1200 + 1), lambda k: regexp_replace(substring(s, k * 1200 + 1, 1200), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')), lambda x: x <> ''))) END) AS t FROM u)
         SELECT context_id, count(*) AS n, sum(length(t))::BIGINT AS chars, max(length(t)) AS longest FROM s GROUP BY 1""",
 }
+ORACLES["neighbour_turns"] = f"SELECT DISTINCT a.context_id, a.page_id FROM ({V.TURN_PAGES_SQL}) a JOIN ({ORACLES['question_search']}) b ON a.context_id = b.question_id AND a.page_id BETWEEN b.page_id - 1 AND b.page_id + 1"
