@@ -16,7 +16,7 @@ HOT_DAYS, WARM_DAYS, TIER_ITEMS, BUDGET = 2, 14, 24, 4000
 
 
 def parse_memory_log(contexts: DataFrame, id_col: str = "context_id", text_col: str = "context") -> DataFrame:
-    """(context_id, day, event_id, kind, key, value, importance, text) of the lines that are memory events."""
+    """(context_id, day, event_id, kind, key, value, importance, text) of the lines that are memory events. A context may come in several rows of whole lines."""
     lines = contexts.select(F.col(id_col).alias("context_id"), F.explode(F.split(F.coalesce(text_col, F.lit("")), "\r?\n")).alias("line")).withColumn("line", T.strip(F.col("line"))).where(F.col("line").rlike(LINE))
     part = lambda k: F.regexp_extract("line", LINE, k)
     return lines.select("context_id", part(1).cast("int").alias("day"), part(2).alias("event_id"), part(3).alias("kind"), part(4).alias("key"), T.strip(part(5)).alias("value"), part(6).cast("int").alias("importance"), T.strip(part(7)).alias("text"))

@@ -32,13 +32,23 @@ _FORMS = {
 _GROUPS = {"pair": 3, "they": 2, "pronoun": 2, "single": 2, "pickup": 2, "drop": 2, "transfer": 3}
 
 
-def sentence_offsets(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text") -> DataFrame:
-    """(context_id, position, sentence): non-empty sentences with their offsets in code points."""
+def sentence_offsets(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text", part_col: str | None = None) -> DataFrame:
+    """(context_id, position, sentence): non-empty sentences with their offsets in code points.
+
+    A context may come in several rows of whole sentences, in the order of ``part_col``: offsets are then those
+    of its rows joined by one character each, and no row has to hold a long context.
+    """
     ship(contexts.sparkSession)
-    marked = F.split(F.regexp_replace(F.coalesce(text_col, F.lit("")), f"({SENTENCE})", "\u0001$1\u0002"), "[\u0001\u0002]")
-    parts = contexts.select(F.col(id_col).cast("string").alias("context_id"), marked.alias("sentence"))
+    text = F.coalesce(text_col, F.lit(""))
+    base = F.lit(0)
+    if part_col is not None:
+        earlier = Window.partitionBy(id_col).orderBy(part_col).rowsBetween(Window.unboundedPreceding, -1)
+        base = F.coalesce(F.sum(F.length(text) + 1).over(earlier), F.lit(0))
+    marked = F.split(F.regexp_replace(text, f"({SENTENCE})", "\u0001$1\u0002"), "[\u0001\u0002]")
+    parts = contexts.select(F.col(id_col).cast("string").alias("context_id"), base.cast("long").alias("base"), marked.alias("sentence"))
     placed = parts.withColumn("position", _before(F.transform("sentence", F.length)))
-    return placed.select("context_id", F.inline(F.filter(F.arrays_zip("position", "sentence"), lambda x: x["sentence"].rlike(r"\S") & x["sentence"].rlike(r"(?i)[a-z]"))))
+    found = placed.select("context_id", "base", F.inline(F.filter(F.arrays_zip("position", "sentence"), lambda x: x["sentence"].rlike(r"\S") & x["sentence"].rlike(r"(?i)[a-z]"))))
+    return found.select("context_id", (F.col("position") + F.col("base")).alias("position"), "sentence")
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -78,14 +88,14 @@ def _resolved(rows: DataFrame) -> DataFrame:
     return told.withColumns({"named": own, "people": people, "place": F.lower(place)})
 
 
-def story_candidates(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text") -> DataFrame:
+def story_candidates(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text", part_col: str | None = None) -> DataFrame:
     """All events of each context, with coreference; numbered from 1 by place, a row's movement before what happens to things.
 
     Coreference is a matter of windows over a context's matching sentences (see _resolved). Only a
     sentence with a pronoun's movement beside a name's needs to know how earlier ones of its
     kind came out: such contexts are resolved again until nothing changes, each time one more is settled at least.
     """
-    rows = cut(matched_sentences(sentence_offsets(contexts, id_col, text_col)))
+    rows = cut(matched_sentences(sentence_offsets(contexts, id_col, text_col, part_col)))
     mixed = F.col("pair").isNull() & F.col("single").isNotNull() & (F.col("they").isNotNull() | F.col("pronoun").isNotNull())
     found = _resolved(rows.withColumn("assumed", F.col("pair").isNull() & F.col("single").isNotNull() & ~mixed))
     if not rows.where(mixed).isEmpty():
@@ -120,8 +130,8 @@ def densest_block(events: DataFrame, gap: int = GAP) -> DataFrame:
     return kept.withColumn("idx", F.row_number().over(by)).select(*events.columns)
 
 
-def extract_story_events(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text") -> DataFrame:
-    return densest_block(story_candidates(contexts, id_col, text_col))
+def extract_story_events(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text", part_col: str | None = None) -> DataFrame:
+    return densest_block(story_candidates(contexts, id_col, text_col, part_col))
 
 
 def person_moves(events: DataFrame) -> DataFrame:

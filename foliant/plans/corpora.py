@@ -9,7 +9,7 @@ from foliant.operators import normalize as N
 from foliant.operators import retrieve as R
 from foliant.operators import story as S
 from foliant.plans import views as V
-from foliant.plans.memory import _story
+from foliant.plans.memory import _events, _story
 from foliant.session import table
 
 _KEY = ("task_id", "source_task", "gold_answer", "scorer")
@@ -85,8 +85,8 @@ def sliding_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def story_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of each story that bear on a question, the 220 best."""
     story = _story(spark, sf_dir)
-    asked = story.select(F.col("context_id").cast("string").alias("context_id"), F.col("context_id").alias("question_id"), F.lit("Where was Mary before the kitchen with the milk?").alias("question"))
-    return R.fact_evidence(story.select(F.col("context_id").cast("string").alias("context_id"), "text"), asked, 220)
+    asked = story.select(F.col("context_id").cast("string").alias("context_id"), F.col("context_id").alias("question_id"), F.lit("Where was Mary before the kitchen with the milk?").alias("question")).distinct()
+    return R.fact_evidence(story, asked, 220, part_col="event_id")
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def story_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = S.extract_story_events(_story(spark, sf_dir))
+    events = _events(spark, sf_dir)
     asked = events.select("context_id").distinct().select(F.col("context_id").alias("question_id"), "context_id", F.lit("Where is Mary?").alias("question"))
     return S.trace_tier(events, asked, 40).select("question_id", "kind", "text").groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
 

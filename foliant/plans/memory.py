@@ -11,11 +11,10 @@ from foliant.plans import views as V
 
 
 def memory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events written as memory log lines, a context a user, and parsed again; a line in ten is no event."""
+    """events written as memory log lines, a context a user and a row a line of it, and parsed again; a line in ten is no event."""
     line = F.concat(F.lit("[MEM day="), F.col("day").cast("string"), F.lit(" id="), "event_id", F.lit(" type="), "kind", F.lit(" key="), "key", F.lit(" value="), "value", F.lit(" importance="), F.col("importance").cast("string"), F.lit("] "), "text")
     line = F.when(F.col("event_id").endswith("0"), F.concat(F.lit("not an event "), "event_id")).otherwise(line)
-    logs = V.mem_events(spark, sf_dir).withColumn("line", line).groupBy("context_id").agg(F.array_join(F.collect_list("line"), "\n").alias("context"))
-    return M.parse_memory_log(logs)
+    return M.parse_memory_log(V.mem_events(spark, sf_dir).select("context_id", line.alias("context")))
 
 
 def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,31 +64,34 @@ def derived_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _story(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events told as a story, a context a user."""
+    """events told as a story, a context a user and a row a sentence of it."""
     sentence = (
         F.when(F.col("kind") == "movement", F.concat("person", F.lit(" went to the "), "place", F.lit("."))).when(F.col("kind") == "pickup", F.concat("person", F.lit(" picked up the "), "thing", F.lit(".")))
         .when(F.col("kind") == "drop", F.concat("person", F.lit(" dropped the "), "thing", F.lit("."))).otherwise(F.concat("person", F.lit(" handed the "), "thing", F.lit(" to "), "target", F.lit(".")))
     )
-    told = F.transform(F.sort_array(F.collect_list(F.struct("event_id", sentence.alias("s")))), lambda x: x["s"])
-    return V.moves(spark, sf_dir).groupBy("context_id").agg(F.array_join(told, " ").alias("text"))
+    return V.moves(spark, sf_dir).select("context_id", "event_id", sentence.alias("text"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.extract_story_events(_story(spark, sf_dir), part_col="event_id")
 
 
 def story_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.person_locations(S.extract_story_events(_story(spark, sf_dir)))
+    return S.person_locations(_events(spark, sf_dir))
 
 
 def story_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.object_state(S.extract_story_events(_story(spark, sf_dir)))
+    return S.object_state(_events(spark, sf_dir))
 
 
 def story_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = S.extract_story_events(_story(spark, sf_dir))
+    events = _events(spark, sf_dir)
     everyone = S.person_moves(events).select("context_id", "person").distinct().withColumn("target", F.lit("cinema"))
     return S.before_location(events, everyone)
 
 
 def story_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = S.extract_story_events(_story(spark, sf_dir))
+    events = _events(spark, sf_dir)
     asked = events.select("context_id").distinct().select(F.col("context_id").alias("question_id"), "context_id", F.lit("Where was Mary before the kitchen, and who has the milk?").alias("question"))
     return S.state_packets(events, asked)
 

@@ -214,3 +214,18 @@ ORACLES = {
         SELECT context_id, count(*) AS n, sum(length(t))::BIGINT AS chars, max(length(t)) AS longest FROM s GROUP BY 1""",
 }
 ORACLES["neighbour_turns"] = f"SELECT DISTINCT a.context_id, a.page_id FROM ({V.TURN_PAGES_SQL}) a JOIN ({ORACLES['question_search']}) b ON a.context_id = b.question_id AND a.page_id BETWEEN b.page_id - 1 AND b.page_id + 1"
+#: Pages of 800 characters with 80 of overlap. A page ends behind the first mark that starts within the next 119 characters, marks by rank; else behind a line's end in the last 180; else where it is.
+_MARK = lambda m, n: f"WHEN contains(w, {m}) THEN e0 + instr(w, {m}) - 1 + {n}"
+_END = f"""(SELECT CASE WHEN e0 >= length(t) THEN length(t) {_MARK("chr(10) || chr(10)", 2)} {_MARK("chr(10)", 1)} {_MARK("'. '", 2)} {_MARK("'? '", 2)} {_MARK("'! '", 2)}
+    WHEN contains(b, chr(10)) AND length(regexp_extract(b, '[^\\n]*$')) + 1 < 180 THEN greatest(s + 1, e0 - length(regexp_extract(b, '[^\\n]*$'))) ELSE e0 END
+    FROM (SELECT e0, substring(t, e0 + 1, 119) AS w, substring(t, greatest(s, e0 - 300) + 1, e0 - greatest(s, e0 - 300)) AS b FROM (SELECT least(length(t), s + 800) AS e0)))"""
+_PAGES = f"""
+    WITH RECURSIVE g AS (SELECT context_id, t, 1 AS page_id, s, {_END} AS e FROM (SELECT doc_id AS context_id, coalesce(text, '') AS t, 0::BIGINT AS s FROM documents)
+      UNION ALL SELECT context_id, t, page_id, s, {_END} AS e FROM (SELECT context_id, t, page_id + 1 AS page_id, greatest(s + 1, e - 80) AS s FROM g WHERE e < length(t))),
+    l AS (SELECT *, substring(t, 1, s) AS h, substring(t, s + 1, e - s) AS x FROM g),
+    pages AS (SELECT context_id, page_id, s AS char_start, e AS char_end, 1 + length(h) - length(replace(h, chr(10), '')) AS line_start, 1 + length(h) - length(replace(h, chr(10), '')) + length(x) - length(replace(x, chr(10), '')) AS line_end, greatest(1, (e - s) // 4) AS tokens_est FROM l)"""
+ORACLES["pages_of_documents"] = f"{_PAGES} SELECT * FROM pages"
+ORACLES["page_store"] = f"{_PAGES} SELECT context_id, count(*) AS page_count, max(char_end) AS chars, sum(tokens_est)::BIGINT AS tokens_est, min(tokens_est) AS min_tokens, max(tokens_est) AS max_tokens FROM pages GROUP BY 1"
+ORACLES["grep_windows"] = """
+    WITH p AS (SELECT doc_id AS context_id, length(text) AS n, list_transform(string_split(text, 'token'), lambda x: length(x)) AS l FROM documents), m AS (SELECT context_id, n, l, unnest(range(1, least(len(l), 21))) AS k FROM p),
+    s AS (SELECT context_id, n, list_sum(l[1:k])::BIGINT + 5 * (k - 1) AS start FROM m) SELECT context_id, start, start + 5 AS "end", least(n, start + 45) - greatest(0, start - 40) AS chars FROM s"""

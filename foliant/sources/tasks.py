@@ -82,16 +82,17 @@ def read_buckets(spark: SparkSession, path: str, wanted: DataFrame, keys: Sequen
 
 
 def read_trajectories(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Trajectories by id or trajectory_id; of rows with one id the last in the file stays."""
+    """Trajectories by id or trajectory_id; of rows with one id the last in the file stays, and of several files that in the last by name."""
     from foliant.operators.panel import keep_last
 
-    rows = spark.read.schema(schema).json(path).withColumns({"traj_id": F.coalesce("id", "trajectory_id") if "trajectory_id" in schema else F.col("id"), "__ord": F.monotonically_increasing_id()})
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = spark.read.schema(schema).json(path).withColumns({"traj_id": F.coalesce("id", "trajectory_id") if "trajectory_id" in schema else F.col("id"), "__ord": place})
     return keep_last(rows, ["traj_id"], "__ord").drop("__ord")
 
 
-def read_haystack(spark: SparkSession, path: str) -> DataFrame:
-    """(question_id, pos, traj_id) of a JSON map from question to trajectory ids."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+def read_haystack(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """(question_id, pos, traj_id) of JSON maps from question to trajectory ids: one a file, which is then one row, or one a line."""
+    whole = spark.read.text(path, wholetext=not by_line).select(F.from_json("value", "map<string,array<string>>").alias("m"))
     return whole.select(F.explode("m").alias("question_id", "ids")).select("question_id", F.posexplode("ids").alias("pos", "traj_id"))
 
 
