@@ -127,3 +127,13 @@ ORACLES = {
         FROM e, k JOIN r ON r.ord > episode * per AND r.ord <= episode * per + 10 GROUP BY episode, per""",
     "story_trace": f"WITH m AS ({V.MOVE_SQL}) SELECT context_id::VARCHAR AS question_id, least(40, CASE WHEN count(*) FILTER (hit) > 0 THEN count(*) FILTER (hit) ELSE count(*) END) AS n FROM (SELECT *, person = 'Mary' OR (kind = 'transfer' AND target = 'Mary') AS hit FROM m) GROUP BY 1",
 }
+ORACLES["sliding_scans"] = """
+    WITH d AS (SELECT date_diff('day', DATE '2024-01-01', ts::DATE) AS ord, user_id % 5 AS freq, count(*) AS power FROM events GROUP BY ALL), s AS (SELECT ord, string_agg(printf('%.2f MHz@%.1f dBm', freq::DOUBLE, power::DOUBLE), '; ' ORDER BY freq, power) AS line FROM d GROUP BY 1),
+    e AS (SELECT unnest(range(0, (SELECT max(ord) FROM s) + 1, 10)) AS episode)
+    SELECT episode, count(*) FILTER (ord <= episode + 9) AS n_history, count(*) FILTER (ord > episode + 9) AS n_future, substring(string_agg(line, chr(10) ORDER BY ord) FILTER (ord > episode + 9), 1, 20) AS next
+    FROM e JOIN s ON ord <= episode + 14 GROUP BY 1 HAVING n_history > 0 AND n_future > 0"""
+ORACLES["story_evidence"] = f"""
+    WITH m AS ({V.MOVE_SQL}), t AS (SELECT context_id, event_id, kind, CASE kind WHEN 'movement' THEN concat(person, ' went to the ', place, '.') WHEN 'pickup' THEN concat(person, ' picked up the ', thing, '.') WHEN 'drop' THEN concat(person, ' dropped the ', thing, '.') ELSE concat(person, ' handed the ', thing, ' to ', target, '.') END AS text FROM m),
+    o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY context_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM t),
+    s AS (SELECT context_id AS question_id, position, kind, text, 20 + 10 * contains(text, 'Mary')::INT + 9 * contains(text, 'kitchen')::INT + 9 * contains(text, 'milk')::INT AS score FROM o)
+    SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, position) <= 220"""

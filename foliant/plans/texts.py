@@ -229,3 +229,22 @@ ORACLES["page_store"] = f"{_PAGES} SELECT context_id, count(*) AS page_count, ma
 ORACLES["grep_windows"] = """
     WITH p AS (SELECT doc_id AS context_id, length(text) AS n, list_transform(string_split(text, 'token'), lambda x: length(x)) AS l FROM documents), m AS (SELECT context_id, n, l, unnest(range(1, least(len(l), 21))) AS k FROM p),
     s AS (SELECT context_id, n, list_sum(l[1:k])::BIGINT + 5 * (k - 1) AS start FROM m) SELECT context_id, start, start + 5 AS "end", least(n, start + 45) - greatest(0, start - 40) AS chars FROM s"""
+ORACLES["spread_pairs"] = f"""{_PAIRS}, g AS (SELECT conv_id, turn, place FROM p WHERE length(text) >= 20 AND length(substring(gold, 1, 4000)) >= 80),
+    f AS (SELECT conv_id, list(turn) AS free, any_value(n) AS total, []::BIGINT[] AS taken FROM g JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) c USING (conv_id) WHERE n >= 4 GROUP BY 1),
+    """ + ", ".join(
+    f"""s{k + 1} AS (SELECT conv_id, free, total, taken || list_transform(list_sort(list_transform(list_filter(free, lambda a: len(list_filter(taken, lambda x: abs(a - x) < 2)) = 0), lambda b: {{'d': abs(b - {share}::DOUBLE * total), 't': b}}))[1:1], lambda y: y.t) AS taken FROM {f"s{k}" if k else "f"})"""
+    for k, share in enumerate((0.3, 0.5, 0.7, 0.9))
+) + """ SELECT conv_id, turn, coalesce((SELECT length(string_agg(s, chr(10) || chr(10) ORDER BY turn)) FROM t WHERE t.conv_id = g.conv_id AND t.place < g.place), 0) AS context_chars
+    FROM g JOIN (SELECT conv_id, unnest(taken) AS turn FROM s4) USING (conv_id, turn)"""
+ORACLES["episode_chunks"] = """
+    WITH d AS (SELECT doc_id AS context_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), 'The and attion') AS p FROM documents)
+    SELECT context_id, count(*) AS n, sum(c)::BIGINT AS chars FROM (
+      SELECT context_id, unnest(list_transform(p[2:], lambda x: length(x) + 14) || CASE WHEN regexp_matches(p[1], '[^ \\t\\n\\x0B\\f\\r]') THEN [length(p[1])] ELSE [] END) AS c FROM d WHERE len(p) > 1
+      UNION ALL SELECT context_id, least(2000, length(t) - s) AS c FROM (SELECT context_id, t, unnest(range(0, greatest(length(t) - 1, 0) + 1, 1900)) AS s FROM d WHERE len(p) = 1)) GROUP BY 1"""
+# As in question_terms, letters beyond ASCII are word characters.
+ORACLES["carriers"] = """
+    WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]') AND NOT regexp_matches(regexp_replace(x, '[ªµºÀ-ÖØ-öø-ʯͰ-῿]', '_', 'g'), '^\\s*(?:The|Thing)\\b')
+        AND NOT (length(x) <= 240 AND regexp_matches(regexp_replace(x, '[ªµºÀ-ÖØ-öø-ʯͰ-῿]', '_', 'g'), '(?i)\\b(?:the|and|der|que)\\b'))) AS kept FROM documents),
+    c AS (SELECT doc_id, array_to_string(kept, chr(10)) AS t FROM l), n AS (SELECT greatest(1, count(*)) AS n FROM documents),
+    s AS (SELECT item_id, text AS passage, substring(t, 1, 500) || chr(10) || chr(10) || text || chr(10) || chr(10) || right(t, 500) AS x FROM benchmark CROSS JOIN n JOIN c ON c.doc_id = item_id % n)
+    SELECT item_id, length(x) AS chars, contains(x, passage) AS whole FROM s"""
