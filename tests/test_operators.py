@@ -244,3 +244,14 @@ def test_story_coreference_of_mixed_sentences(spark):
         ("2", 1, "movement", ["Mary", "John"], "park"), ("2", 2, "movement", ["Fred"], "school"), ("2", 3, "movement", ["Fred"], "garden"), ("2", 4, "movement", ["Fred"], "cinema"),
         ("3", 1, "transfer", ["Bill", "Jeff"], None), ("3", 2, "movement", ["Jeff"], "office"),
     ]
+
+
+def test_story_in_rows_equals_story_in_one(spark):
+    from foliant.operators import story
+
+    told = ["Mary went to the garden. ", "", None, "She picked up the milk.  Mary took the milk.\n", "Then they moved to the office. John and Mary moved to the park."]
+    parts = spark.createDataFrame([(c, k, x) for c in (1, 2) for k, x in enumerate(told)], "context_id long, part int, text string")
+    whole = spark.createDataFrame([(c, "\n".join(x or "" for x in told)) for c in (1, 2)], "context_id long, text string")
+    assert sorted(story.sentence_offsets(parts, part_col="part").collect()) == sorted(story.sentence_offsets(whole).collect())
+    key = lambda rows: sorted(str(r) for r in rows.collect())
+    assert key(story.extract_story_events(parts, part_col="part")) == key(story.extract_story_events(whole)) != []

@@ -26,6 +26,13 @@ def test_haystack_and_trajectories(spark, tmp_path):
     (tmp_path / "h.json").write_text('{"q1": ["a", "b"], "q2": []}')
     hay = S.read_haystack(spark, str(tmp_path / "h.json"))
     assert [(r["question_id"], r["pos"], r["traj_id"]) for r in hay.orderBy("pos").collect()] == [("q1", 0, "a"), ("q1", 1, "b")]
+    (tmp_path / "lines.json").write_text('{"q1": ["a", "b"]}\n{"q2": []}\n{"q3": ["c"], "q4": ["a"]}\n')
+    by_line = S.read_haystack(spark, str(tmp_path / "lines.json"), by_line=True)
+    assert sorted(map(tuple, by_line.collect())) == [("q1", 0, "a"), ("q1", 1, "b"), ("q3", 0, "c"), ("q4", 0, "a")]
+    (tmp_path / "many").mkdir()
+    for k, goal in ((2, "late"), (1, "early")):
+        (tmp_path / "many" / f"part-{k}.jsonl").write_text('{"id": "a", "goal": "%s 1"}\n{"id": "a", "goal": "%s 2"}\n' % (goal, goal))
+    assert [r["goal"] for r in S.read_trajectories(spark, str(tmp_path / "many"), "id string, goal string").collect()] == ["late 2"]
     (tmp_path / "t.jsonl").write_text('{"id": "a", "goal": "old"}\n{"trajectory_id": "b", "goal": "g"}\n{"id": "a", "goal": "new", "states": [{"state_index": 1}]}\n')
     fields = "id string, trajectory_id string, domain string, environment string, goal string, outcome string, start_url string, states array<struct<state_index:int,url:string,thought:string,action:string,accessibility_tree:string>>"
     rows = S.read_trajectories(spark, str(tmp_path / "t.jsonl"), fields)
