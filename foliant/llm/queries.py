@@ -13,7 +13,7 @@ from foliant.llm.exact import exact_duplicates
 from foliant.llm.lines import line_dedup
 from foliant.llm.packing import pack
 from foliant.llm.quality import THRESHOLD, fit_quality, held_out, score_quality
-from foliant.llm.secrets import Dictionary, corpus_words, scan_secrets, vocabulary_words
+from foliant.llm.secrets import Dictionary, scan_secrets, vocabulary_words
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.substrings import remove_repeated_windows
 from foliant.llm.warc import archive_folder, normalise_archives, plan_records, read_archives, write_whole
@@ -46,8 +46,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents")
-    found = scan_secrets(docs, words=Dictionary.of(vocabulary_words(public_tokenizers.path("word_bpe_49k.json")), corpus_words(docs)))
+    found = scan_secrets(table(spark, sf_dir, "documents"), words=Dictionary.of(vocabulary_words(public_tokenizers.path("word_bpe_49k.json"))))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.filter("spans", lambda x: x["kind"] != "guess")

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.session import ship
@@ -22,8 +22,8 @@ KINDS = ("assign", "access", "hex", "guess")
 CONTEXT = re.compile(r"""(?i:(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth)(?:[_-][A-Za-z0-9]++)*+(?![A-Za-z0-9_]))["']?(?:\x20*[:=]\x20*|\x20(?i:is)\x20)(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"'<>(){}]{6,}))""", re.ASCII)
 #: Decimal digits of guesses from which a value counts as a secret.
 LOG10_GUESSES = 8.0
-#: Most frequent words of the corpus that a dictionary takes, and the letters of its longest word.
-CORPUS_WORDS, LONGEST = 30_000, 20
+#: Letters of a dictionary's longest word.
+LONGEST = 20
 
 # Common words and passwords by rank, date shapes, rows of keys.
 WORDS = (
@@ -66,17 +66,6 @@ def vocabulary_words(path: str) -> list[str]:
     return [w[:-4] for w, _ in sorted(vocabulary.items(), key=lambda x: x[1]) if w.endswith("</w>") and w[:-4].isalpha() and w[:-4].isascii()]
 
 
-def corpus_words(docs: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS) -> list[str]:
-    """The ``most`` most frequent words (runs of letters, in lower case, of 3 to LONGEST letters) of all whole texts, ties by the word. Counted on Spark; only they come to the driver."""
-    split = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^a-z\x{80}-\x{10FFFF}]+")
-    each = docs.select(F.explode_outer(split).alias("word")).where(F.length("word").between(3, LONGEST))
-    counts = each.groupBy("word").count()
-    # The best of each of four lots, cut down where they are counted, so that what the driver gets does not grow with the tasks.
-    lot = Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(4))).orderBy(F.desc("count"), "word")
-    best = counts.withColumn("place", F.row_number().over(lot)).where(F.col("place") <= most)
-    return [r["word"] for r in best.orderBy(F.desc("count"), "word").limit(most).collect()]
-
-
 def _alphabet(value: str) -> int:
     return max(2, 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value))
 
@@ -167,12 +156,12 @@ def _scan(log10_guesses: float, words: Dictionary):
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log10_guesses: float = LOG10_GUESSES, words: Dictionary | None = None) -> DataFrame:
     """(doc_id, spans: array of kind, start, end) of every whole text; offsets in code points, end exclusive.
 
-    Guess costs use ``words`` or, if none are given, common passwords and the most frequent words of all the
-    texts (corpus_words). The scan itself doesn't shuffle: each text is scanned where it is read, and the dictionary, of
-    a bounded number of words, goes with the task. Null counts as empty; null ids and
+    Guess costs use ``words`` or, if none are given, common passwords alone. The words come from fixed lists and never
+    from the texts, which hold the secrets themselves: whether a text holds one depends on that text and on nothing
+    else. Nothing is shuffled: each text is scanned where it is read, and the dictionary goes with the task. Null counts as empty; null ids and
     repeated rows are answered like any row; other columns are ignored; no rows give no rows.
     """
     ship(docs.sparkSession)
-    words = words or Dictionary.of(corpus_words(docs, text_col))
+    words = words or COMMON
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scan(log10_guesses, words), f"doc_id {dict(rows.dtypes)['doc_id']}, spans array<struct<kind:string,start:long,end:long>>")
