@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from foliant.session import cut, shared_dir, ship
 
 LEAST, SALTS, CHUNK = 1000, 32, 1 << 20
+#: Bytes of a written archive from which the task goes on in a new one.
+ARCHIVE_BYTES = 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -71,46 +73,61 @@ def _record(row: dict, place: str, date: str) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _write(folder: str, date: str):
+def _write(folder: str, date: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        task = TaskContext.get()
-        path, out, gz, n = f"{root}/whole-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz", None, zlib.compressobj(6, zlib.DEFLATED, 31), 0
+        task, made, out = TaskContext.get(), 0, None
+
+        def finished() -> pa.RecordBatch:
+            out.write(gz.flush())
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
+
         for b in batches:
             for row in b.to_pylist():
-                out = out or store.open_output_stream(path, compression=None)
+                if out is None:
+                    path = f"{root}/whole-{task.partitionId():06d}-{task.taskAttemptId()}-{made:04d}.warc.gz"
+                    out, gz, n, made = store.open_output_stream(path, compression=None), zlib.compressobj(6, zlib.DEFLATED, 31), 0, made + 1
                 out.write(gz.compress(_record(row, f"{path}:{n}", date)))
                 n += 1
-        if out:
-            out.write(gz.flush())
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
+                if out.tell() >= most:
+                    yield finished()
+                    out = None
+        if out is not None:
+            yield finished()
 
     return run
 
 
-def write_whole(records: DataFrame, folder: str, date: str = DATE) -> DataFrame:
-    """Write planned records, a file for each task, each file one gzip stream; returns (path, records). Only files of tasks that succeeded are listed."""
+def write_whole(records: DataFrame, folder: str, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write planned records, each file one gzip stream; returns (path, records). Only files of tasks that succeeded are listed.
+
+    A task writes one file, and a further one each time that a file has reached ``archive_bytes``, so an archive is
+    larger than that by a record at most. No records make no file.
+    """
     ship(records.sparkSession)
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
-    return cut(records.mapInArrow(_write(folder, date), "path string, records long"))
+    return cut(records.mapInArrow(_write(folder, date, archive_bytes), "path string, records long"))
 
 
 class _Inflated:
     """A gzip file of one or more members as one stream of bytes, held a chunk at a time."""
 
     def __init__(self, file):
-        self.file, self.inflate, self.buffer, self.ended = file, zlib.decompressobj(31), bytearray(), False
+        self.file, self.inflate, self.buffer, self.ended, self.begun = file, zlib.decompressobj(31), bytearray(), False, False
 
     def _more(self) -> bool:
         while not self.ended:
             raw = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail or self.file.read(CHUNK)
             if self.inflate.eof:
                 raw = raw or self.file.read(CHUNK)
-                self.inflate = zlib.decompressobj(31)
+                self.inflate, self.begun = zlib.decompressobj(31), False
             if not raw:
+                if self.begun:
+                    raise ValueError("the archive ends before its gzip stream does")
                 self.ended = True
                 return False
+            self.begun = True
             data = self.inflate.decompress(raw, CHUNK)
             if data:
                 self.buffer += data
@@ -184,7 +201,10 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrite archives (column path) that are one gzip stream as a member for each record; returns the index: path, offset, length, record_id, record_type.
 
     A stream is inflated once, a chunk at a time; beside each new archive a sidecar ``.cdxj`` has a line of
-    JSON for each record. Archives of many members are taken as well. Files are dealt out one to a task.
+    JSON for each record. Archives of many members are taken as well, and one of no bytes has no records. A file that
+    ends before its gzip stream, or before a record, stops the job with a ValueError. A file is read by one
+    task, as a stream can't be entered half-way (write_whole bounds those that it makes). Null paths aren't allowed;
+    a path that is listed twice is rewritten twice; other columns are ignored; no rows give no rows.
     """
     ship(archives.sparkSession)
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
@@ -226,7 +246,9 @@ def _pages(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """The records that an index names, each inflated from its own member: page_id, record_type, refers_to, payload_bytes and payload_digest (of the full payload, as the headers have them), payload (none for revisits), path, offset."""
+    """The records that an index names, each inflated from its own member: page_id, record_type, refers_to, payload_bytes and payload_digest (of the full payload, as the headers have them), payload (none for revisits), path, offset.
+
+    Rows that repeat are read as often as they come, in any order; a record without a page id has a null one; other columns are ignored; no rows give no rows."""
     ship(index.sparkSession)
     return index.select("path", "offset", "length").mapInArrow(_read(folder), _READ)
 
