@@ -114,7 +114,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, one_in: int = 20, **how) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns. Decided by (id, hash of the text), as other texts may have the id."""
+    """The rows of ``docs`` that are not contaminated, with all their columns, as often as they come.
+
+    Decided by (id, hash of the text), as other texts may have the id; null ids and texts as in contamination. Column
+    names may be anything. No items: all rows stay; no rows give no rows.
+    """
     bad = _judged(docs, items, id_col, text_col, item_id_col, item_text_col, window, one_in, **how).where("contaminated").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash")).distinct()
-    keyed = docs.withColumn("__hash", F.xxhash64(text_col))
-    return keyed.join(bad, keyed[id_col].eqNullSafe(bad["__gone"]) & (keyed["__hash"] == bad["__gone_hash"]), "left_anti").drop("__hash")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    return keyed.join(bad, F.col("id").eqNullSafe(F.col("__gone")) & (F.col("hash") == F.col("__gone_hash")), "left_anti").select("row.*")

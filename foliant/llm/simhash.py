@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.components import connected_components
@@ -42,16 +43,22 @@ def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], names=["doc_id", "fp", "text_hash"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2), b.column(3)], names=["doc_id", "fp", "text_hash", "tie"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, text_hash): fp holds the 64 bits as a signed long. Null text has no words, so 0."""
+    """(doc_id, fp, text_hash, tie): fp holds the 64 bits as a signed long, tie is a hash of the row's other columns. Null text has no words, so 0."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long, text_hash long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), _tie(docs, id_col, text_col).alias("tie"))
+    return rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long, text_hash long, tie long")
+
+
+def _tie(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A hash of what tells rows of one id and text apart: their other columns, as far as Spark hashes them."""
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in (id_col, text_col) and not re.search("map<|variant", f.dataType.simpleString())]
+    return F.xxhash64(*others) if others else F.lit(0).cast("long")
 
 
 def block_masks(blocks: int = BLOCKS, max_bits: int = MAX_BITS) -> list[int]:
@@ -180,23 +187,24 @@ def midpoint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, max_bits: int = MAX_BITS, blocks: int = BLOCKS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
-    """As near_duplicates, with text_hash."""
-    fps = cut(fingerprints(docs, id_col, text_col, shingle, seed))
+    """As near_duplicates, with text_hash, tie and ``stays``: the (id, text_hash, tie) of the component's row of least id, null ids last."""
+    fps = cut(fingerprints(docs, id_col, text_col, shingle, seed)).withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "tie"))
     dealt = fps.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     classes = cut(
-        dealt.groupBy("fp", "salt").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+        dealt.groupBy("fp", "salt").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
         .groupBy("fp").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
     )
     roots = connected_components(near_links(classes.select("fp"), max_bits, blocks, bucket))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", "n", "salts", F.coalesce("root", "fp").alias("root"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("lot"))
     named = (
         rooted.groupBy("root", "lot").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-        .groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"), F.collect_set("lot").alias("lots"))
-        .select("root", "component_id", "component_size", F.explode("lots").alias("lot"))
+        .groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("component_size"), F.collect_set("lot").alias("lots"))
+        .select("root", "stays", "component_size", F.explode("lots").alias("lot"))
     )
-    answers = rooted.join(named, ["root", "lot"]).select("fp", "component_id", "component_size", F.explode("salts").alias("salt"))
+    answers = rooted.join(named, ["root", "lot"]).select("fp", "stays", "component_size", F.explode("salts").alias("salt"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return dealt.join(answers, ["fp", "salt"]).select("doc_id", "text_hash", hexed.alias("fingerprint"), "component_id", "component_size")
+    return dealt.join(answers, ["fp", "salt"]).select("doc_id", "text_hash", "tie", "stays", hexed.alias("fingerprint"), F.col("stays.doc_id").alias("component_id"), "component_size")
+
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, blocks: int = BLOCKS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
     """SimHash classes: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable), component_size.
@@ -208,12 +216,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows are returned as often as they came; ties cannot arise. Other columns are
     ignored. No rows give no rows.
     """
-    return _classed(docs, id_col, text_col, max_bits, blocks, shingle, seed, bucket).drop("text_hash")
+    return _classed(docs, id_col, text_col, max_bits, blocks, shingle, seed, bucket).drop("text_hash", "tie", "stays")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id. Decided by (id, hash of the text), as other texts may have the id."""
-    classed = _classed(docs, id_col, text_col, **how).where("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    gone = classed.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash"))
-    keyed = docs.withColumn("__hash", F.xxhash64(text_col))
-    return keyed.join(gone, keyed[id_col].eqNullSafe(gone["__gone"]) & (keyed["__hash"] == gone["__gone_hash"]), "left_anti").drop("__hash")
+    """One row of ``docs`` for each component, with all its columns: that of the smallest id.
+
+    Rows of the smallest id are told apart by hashes of their text and then of their other columns, so near copies under
+    one id, or under null ids (which come last), leave one row too; rows equal in all columns
+    are one. Null and empty texts form a component like any other. Column names may be anything. No rows give no rows.
+    """
+    stay = _classed(docs, id_col, text_col, **how).select("stays.doc_id", "stays.text_hash", "stays.tie").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), _tie(docs, id_col, text_col).alias("row_tie"))
+    kept = keyed.join(stay, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")) & (F.col("row_tie") == F.col("tie")), "left_semi")
+    return kept.dropDuplicates(["id", "hash", "row_tie"]).select("row.*")
