@@ -230,10 +230,25 @@ def test_op3_midpoints_equal_pairs(spark):
         assert {r["node"]: r["root"] for r in connected_components(links).collect()} == want
 
 
-def test_op3_odd_rows(odd):
+def test_op3_odd_rows(spark, odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 6 and {r["component_id"] for r in got if r["fingerprint"] == "0" * 16} == {7}
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
+    named = odd.withColumnsRenamed({"n": "__hash", "part": "tie", "words": "row", "score": "stays"})
+    assert simhash.drop_near_duplicates(named).columns == named.columns
+    words = " ".join(f"w{k}" for k in range(200_000))
+    long = spark.createDataFrame([(1, words), (2, "x" * 3_000_000), (3, words + " end")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(long).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_op3_one_row_of_each_component(spark):
+    """Near copies under one id, under null ids, with equal texts and other columns: one row stays, that of the least id."""
+    text = " ".join(f"word{k * k % 997}" for k in range(400))
+    near, far = text + " end", " ".join(f"other{k * k % 991}" for k in range(400))
+    rows = [(5, text, "a"), (5, near, "b"), (None, text, "c"), (7, text, "d"), (5, text, "e"), (None, far, "f"), (None, far + " end", "g"), (None, far, "f"), (9, None, "h"), (9, "", "i"), (None, None, "i")]
+    for parts in (1, 4):
+        left = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(parts)).collect()
+        assert sorted((r["doc_id"] or 0, "word0" in (r["text"] or "")) for r in left) == [(0, False), (5, True), (9, False)]
 
 
 def test_components(spark):
@@ -406,15 +421,40 @@ def test_op6_guess_cost_is_the_minimum():
 
 
 def test_op6_dictionary(spark, odd):
-    """Words that the corpus uses often are no secrets; what is not made of them is."""
-    docs = spark.createDataFrame([(k, f"everything said about the chocolate header number {k}") for k in range(30)] + [(99, "secret: everything token: everythinq7Zk_x passwd is Chocolate"), (100, None)], "doc_id long, text string")
-    got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["spans"]] for r in secrets.scan_secrets(docs).collect()}
-    assert [x for x in got[99] if x[0] == "guess"] == [("guess", 26, 41)] and got[100] == []
-    assert secrets.corpus_words(docs, most=3) == ["chocolate", "everything", "about"]
+    """Words of the vocabulary are no secrets; what is not made of them is, whatever else the table holds and however often."""
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     known = secrets.Dictionary.of(secrets.vocabulary_words(path))
     assert len(known.rank) > 20_000 and secrets.guess_cost("everything", known) < 4 < secrets.guess_cost("correcthorsebatterystaple", known) < 20
-    assert secrets.corpus_words(odd.limit(0)) == []
+    rows = [(99, "secret: everything token: everythinq7Zk_x passwd is Chocolate"), (100, None), (101, "the secret is xkqzvbnwplmrtygh"), (102, "password: hgTqk+Zmwp-Vbnr")]
+    more = [(200 + k, "xkqzvbnwplmrtygh hgTqk Zmwp Vbnr the secret is xkqzvbnwplmrtygh") for k in range(60)]
+    for table in (rows, rows + more):
+        got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["spans"]] for r in secrets.scan_secrets(spark.createDataFrame(table, "doc_id long, text string"), words=known).collect()}
+        guessed = {d: [x for x in spans if x[0] == "guess"] for d, spans in got.items()}
+        assert guessed[99] == [("guess", 26, 41)] and got[100] == [] and guessed[101] == [("guess", 14, 30)] and guessed[102] == [("guess", 10, 25)]
+
+
+def test_op6_planted(spark):
+    """Precision and recall over thousands of texts with known secrets and known weak values in credential contexts."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    vocabulary = secrets.vocabulary_words(path)
+    rng = random.Random(12)
+    kinds = ["password", "DB_PASSWORD", "client_secret", "auth token", "api-key", "passphrase", "access_key"]
+    common = [w for w in vocabulary[2000:12000] if len(w) >= 6]
+    rows, truth = [], {}
+    for k in range(4000):
+        strong = k % 2 == 0
+        if strong:
+            value = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789!#%&*+") for _ in range(rng.randrange(12, 24)))
+        else:
+            value = rng.choice([rng.choice(common), rng.choice(common).capitalize() + "1", "1234567890", "qwertyuiop", "aaaaaaaa", "2001-02-03", "changeme", "password123"])
+        quote = rng.choice(["'", '"'])
+        before = " ".join(rng.sample(common, 20)) + f" {rng.choice(kinds)} = {quote}"
+        rows.append((k, f"{before}{value}{quote} {' '.join(rng.sample(common, 20))}"))
+        truth[k] = (len(before), len(before) + len(value), strong)
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), words=secrets.Dictionary.of(vocabulary)).collect()
+    hits = {r["doc_id"]: {(x["start"], x["end"]) for x in r["spans"] if x["kind"] == "guess"} for r in found}
+    right = sum((s, e) in hits[d] for d, (s, e, strong) in truth.items() if strong)
+    assert right / 2000 > 0.99 and right / sum(map(len, hits.values())) > 0.98
 
 
 def alnum(text: str | None) -> list[str]:
@@ -527,6 +567,32 @@ def test_op9_broken_archive(spark, tmp_path):
         warc.normalise_archives(spark.createDataFrame([(f"{tmp_path}/bad.warc.gz",)], "path string"), f"file://{tmp_path}/out")
 
 
+def test_op9_unfinished_stream(spark, tmp_path):
+    """A stream that stops between two records is an error as well; a file of no bytes has no records; so has an empty table."""
+    pages = spark.createDataFrame([(k, f"http://h/{k}", f"page {k} " * 400) for k in range(6)], "page_id long, url string, html string").coalesce(1)
+    whole = warc.write_whole(warc.plan_records(pages).coalesce(1), f"file://{tmp_path}/whole")
+    path = whole.first()["path"]
+    raw = zlib.decompress(open(path, "rb").read(), 31)
+    half = raw.index(b"WARC/1.1", raw.index(b"WARC/1.1", 10) + 10)
+    gz = zlib.compressobj(6, zlib.DEFLATED, 31)
+    (tmp_path / "cut.warc.gz").write_bytes(gz.compress(raw[:half]) + gz.flush(zlib.Z_SYNC_FLUSH))
+    (tmp_path / "none.warc.gz").write_bytes(b"")
+    listed = lambda name: spark.createDataFrame([(f"{tmp_path}/{name}.warc.gz",)], "path string")
+    with pytest.raises(Exception, match="ends before its gzip stream"):
+        warc.normalise_archives(listed("cut"), f"file://{tmp_path}/out")
+    assert warc.normalise_archives(listed("none"), f"file://{tmp_path}/out").count() == 0
+    none = warc.normalise_archives(warc.write_whole(warc.plan_records(pages.limit(0)), f"file://{tmp_path}/whole"), f"file://{tmp_path}/out")
+    assert warc.read_archives(none, f"file://{tmp_path}/out").count() == 0
+
+
+def test_op9_archives_of_bounded_size(spark, tmp_path):
+    pages = spark.createDataFrame([(k, None, f"{k} " + "".join(chr(97 + (k * 31 + j * j) % 26) for j in range(3000))) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    whole = warc.write_whole(warc.plan_records(pages).coalesce(1), f"file://{tmp_path}/whole", archive_bytes=1)
+    assert whole.count() > 1 and whole.agg(F.sum("records")).first()[0] == 40
+    read = warc.read_archives(warc.normalise_archives(whole, f"file://{tmp_path}/members"), f"file://{tmp_path}/members")
+    assert {(r["page_id"], bytes(r["payload"]).decode()) for r in read.collect()} == {(r["page_id"], r["html"]) for r in pages.collect()}
+
+
 def test_op10_learns_without_negatives(spark):
     rng = random.Random(7)
     rows, labels = [], []
@@ -545,6 +611,18 @@ def test_op10_learns_without_negatives(spark):
     assert len(judged) > 20 and np.mean(judged) > 0.95
 
 
+def test_op10_training_rows_are_bounded(spark, monkeypatch):
+    """Rows count and not ids: two ids with thousands of texts bring no more rows than are asked for, copies of a text count once."""
+    rows = [(1 + k % 2, f"text number {k} of an id that repeats") for k in range(6000)] + [(3, "one text")] * 3000 + [(10 + k, f"some other text {k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = []
+    monkeypatch.setattr(quality, "fit_nnpu", lambda p, u, prior, fit=quality.fit_nnpu, **how: sizes.append((len(p), len(u))) or fit(p, u, prior, steps=2, **how))
+    quality.fit_quality(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int"), positives=100, unlabelled=400)
+    assert 0 < sizes[0][0] <= 100 and 0 < sizes[0][1] <= 400
+    quality.fit_quality(docs, spark.createDataFrame([(k, 1) for k in range(10, 60)], "doc_id long, quality int"), positives=100, unlabelled=400)
+    assert 30 < sizes[1][0] <= 50 and sizes[1][1] == 400
+
+
 def test_op10_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.fit_quality(odd, none)
@@ -553,6 +631,8 @@ def test_op10_odd_rows(spark, odd):
     assert quality.fit_quality(odd.limit(0), none).prior == 0.5
     kept = quality.keep_quality(odd, none)
     assert kept.columns == odd.columns and kept.count() == 6
+    named = odd.withColumnsRenamed({"n": "__text", "part": "__score", "words": "row"})
+    assert quality.keep_quality(named, none).columns == named.columns
     assert 0 <= model.score(quality.features("a" * 100_000)[None])[0] <= 1
 
 
