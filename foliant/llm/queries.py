@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.chat import canonical_turns, conversation_records, format_chat, read_chat
 from foliant.llm.decontaminate import contamination
+from foliant.llm.divergence import source_divergence
 from foliant.llm.exact import exact_duplicates
 from foliant.llm.lines import line_dedup
 from foliant.llm.packing import pack
@@ -87,6 +88,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -170,4 +176,30 @@ ORACLES: dict[str, str] = {
           CASE WHEN payload_bytes >= 1000 AND keep <> page_id THEN keep END AS refers_to
         FROM g
     """,
+    "op13_source_divergence": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM (SELECT row, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+        kept AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+        langs AS (SELECT lang, sum(n) AS total, count(*) AS v FROM kept GROUP BY lang),
+        g AS (
+          SELECT lang, source, coalesce(any_value(total), 0) AS total, coalesce(any_value(v), 0) AS v
+          FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(c.n) AS total FROM c JOIN kept USING (lang, term) GROUP BY ALL) USING (lang, source)
+          LEFT JOIN (SELECT lang, v FROM langs) USING (lang) GROUP BY ALL),
+        p AS (
+          SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0)::HUGEINT + 5)) // (total + 5 * v)::HUGEINT AS p
+          FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+        q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n::HUGEINT + 5)) // (total + 5 * v)::HUGEINT AS q FROM kept JOIN langs USING (lang)),
+        pairs AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(s), 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS s FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) t
+            ON t.lang = a.lang AND t.source = a.source AND t.other = b.source
+          GROUP BY ALL),
+        words AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM words))
+        WHERE part = 'pair' OR rank <= 50
+    """,
 }
