@@ -14,6 +14,7 @@ from foliant.llm.exact import exact_duplicates
 from foliant.llm.lines import line_dedup
 from foliant.llm.packing import pack
 from foliant.llm.quality import THRESHOLD, fit_quality, held_out, score_quality
+from foliant.llm.repair import damage, repair_conversations
 from foliant.llm.secrets import Dictionary, scan_secrets, vocabulary_words
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.substrings import remove_repeated_windows
@@ -88,6 +89,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair_conversations(damage(rows), rows)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -176,6 +183,50 @@ ORACLES: dict[str, str] = {
           CASE WHEN payload_bytes >= 1000 AND keep <> page_id THEN keep END AS refers_to
         FROM g
     """,
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE crc AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+              lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)))) % 20 AS f
+          FROM conversations),
+        r AS (
+          SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy
+          FROM crc WHERE f <> 0),
+        o AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS k, role[1] AS c
+          FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM r)),
+        m AS (
+          SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN k > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+            lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS two FROM o),
+        told AS (
+          SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+            count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+          FROM m GROUP BY conv_id),
+        due(q, n, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+        ins AS (
+          SELECT q, q AS n, 0 AS cost, '' AS said, '' AS more FROM due
+          UNION ALL SELECT q, n, 5, 'I', chr(10) || role || ':' FROM due
+          UNION ALL SELECT a.q, b.n, 10, 'II', chr(10) || a.role || ':' || chr(10) || b.role || ':' FROM due a JOIN due b ON a.n = b.q),
+        kept(q, c, n) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        way AS (
+          SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0, 'audit': '', 'text': ''} AS best FROM told
+          UNION ALL
+          SELECT conv_id, i, q, min(best) FROM (
+            SELECT m.conv_id, m.i, e.n AS q, {'cost': way.best.cost + ins.cost + e.cost, 'audit': way.best.audit || ins.said || e.said, 'text': way.best.text || ins.more || e.line} AS best
+            FROM way JOIN m ON m.conv_id IS NOT DISTINCT FROM way.conv_id AND m.i = way.i + 1 JOIN ins ON ins.q = way.q,
+            LATERAL (
+              SELECT ins.n AS n, 2 AS cost, 'D' AS said, '' AS line
+              UNION ALL SELECT kept.n, CASE WHEN m.fault = 'truncated' THEN 5 ELSE 0 END, 'K', chr(10) || m.role || ':' || m.text FROM kept WHERE kept.q = ins.n AND kept.c = m.c AND m.fault NOT IN ('blank', 'duplicate')
+              UNION ALL SELECT due.n, CASE WHEN m.fault = 'truncated' THEN 6 ELSE 1 END, 'R', chr(10) || due.role || ':' || m.text FROM due WHERE due.q = ins.n AND m.fault NOT IN ('blank', 'duplicate')) e)
+          GROUP BY conv_id, i, q),
+        done AS (
+          SELECT conv_id, min({'cost': best.cost + ins.cost, 'audit': best.audit || ins.said, 'text': best.text || ins.more}) AS best
+          FROM way JOIN told USING (conv_id) JOIN ins ON ins.q = way.q WHERE way.i = told.n AND ins.n IN (0, 3) GROUP BY conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+          coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.text[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told USING (conv_id) LEFT JOIN done USING (conv_id)
+    """,
     "op13_source_divergence": r"""
         WITH d AS (
           SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
