@@ -13,6 +13,7 @@ from foliant.llm.divergence import source_divergence
 from foliant.llm.exact import exact_duplicates
 from foliant.llm.lines import line_dedup
 from foliant.llm.packing import pack
+from foliant.llm.pii import BASE, fit_table, labelled_table, scan_pii
 from foliant.llm.quality import THRESHOLD, fit_quality, held_out, score_quality
 from foliant.llm.repair import damage, repair_conversations
 from foliant.llm.secrets import Dictionary, scan_secrets, vocabulary_words
@@ -94,6 +95,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damage(rows), rows)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_pii(table(spark, sf_dir, "documents"), fit_table(labelled_table(spark)))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -110,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_pii": op12_pii,
     "op13_source_divergence": op13_source_divergence,
 }
 
