@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators.order import prefix_sums
 from foliant.session import ship
 
 OVERFLOW = 1.2
@@ -156,17 +158,51 @@ def clean_carrier(text_col: str, terms: list[str], names: list[str], short: int
     return F.array_join(F.filter(F.split(text_col, "\n"), lambda x: (T.strip(x) != "") & ~x.rlike(starts) & ~((F.length(x) <= short) & x.rlike(holds))), "\n")
 
 
-def assemble_carriers(tasks: DataFrame, carriers: DataFrame, target_chars: int, rounds: int = 3) -> DataFrame:
-    """Adds carrier to tasks (idx): carriers (idx, text; m of them) idx, idx + 1, … modulo m, up to rounds * m, until twice ``target_chars`` are had; null if that falls short."""
+def carrier_ranges(wanted: DataFrame, carriers: DataFrame, rounds: int = 3) -> DataFrame:
+    """Adds first and last to tasks (idx, target_chars): the places on the ring of carriers (idx from 0 without gaps, len) that each takes.
+
+    A task begins at its idx, modulo the number of carriers, and goes on around the ring, ``rounds`` times at most, until it has twice its
+    target. With the lengths summed up along the ring the place where it has enough is the first whose sum reaches a goal, found by
+    an as-of lookup: goals and sums meet in stretches of the ring and are merged there by size. Tasks of one
+    start and target ask once. Nothing is made for carriers that a task passes or never comes to. Without characters it goes
+    all the way around; without carriers last is before first.
+    """
+    total = carriers.agg(F.count(F.lit(1)).alias("m"), F.coalesce(F.sum("len"), F.lit(0)).alias("chars")).first()
+    m, chars = total["m"], total["chars"]
+    asked = wanted.withColumns({"first": F.pmod("idx", F.lit(max(1, m))).cast("long"), "goal": F.greatest(F.lit(1), 2 * F.col("target_chars")).cast("long")})
+    if not chars:
+        return asked.withColumn("last", F.col("first") + rounds * m - 1).drop("goal")
+    ring = prefix_sums(carriers.select(F.col("idx").cast("long").alias("place"), "len"), ["place"], {"before": "len"})
+    sum_due = F.col("before") + F.col("goal")
+    goals = asked.select("first", "goal").distinct().join(ring.select(F.col("place").alias("first"), "before"), "first").select("first", "goal", F.floor((sum_due - 1) / F.lit(chars)).alias("turns"), (F.pmod(sum_due - 1, F.lit(chars)) + 1).alias("at"))
+    stretch = math.ceil(chars / m)
+    lot = lambda c: F.floor((c - 1) / F.lit(stretch))
+    sums = ring.where("len > 0").select((F.col("before") + F.col("len")).alias("at"), "place", F.explode(F.sequence(lot(F.col("before") + 1), lot(F.col("before") + F.col("len")))).alias("lot"))
+    none = F.lit(None).cast("long")
+    both = sums.select("lot", "at", "place", none.alias("first"), none.alias("goal"), none.alias("turns")).unionByName(goals.select(lot(F.col("at")).alias("lot"), "at", none.alias("place"), "first", "goal", "turns"))
+    reached = F.last("place", ignorenulls=True).over(Window.partitionBy("lot").orderBy(F.desc("at"), F.asc_nulls_last("place")).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("reached", reached).where("first is not null").select("first", "goal", F.least(F.col("turns") * m + F.col("reached"), F.col("first") + rounds * m - 1).alias("last"))
+    return asked.join(found, ["first", "goal"]).drop("goal")
+
+
+def assemble_carriers(tasks: DataFrame, carriers: DataFrame, target_chars: int | str, rounds: int = 3) -> DataFrame:
+    """Adds carrier to tasks (idx): carriers (idx from 0 without gaps, text) from the task's idx on around the ring of them, ``rounds`` times at most, until twice the target is had, joined by blank lines.
+
+    ``target_chars`` is a number or a column of tasks. Empty and null carriers are passed over. Null where what there
+    is falls short of the target, or without carriers. Rows are made for what tasks take, no more. Tasks that share
+    an idx and a target get the same carrier; no tasks give no rows.
+    """
     m = carriers.count()
     if not m:
         return tasks.withColumn("carrier", F.lit(None).cast("string"))
-    wanted = tasks.select("idx", F.explode(F.sequence(F.lit(0), F.lit(rounds * m - 1))).alias("k")).withColumn("c", F.pmod(F.col("idx") + F.col("k"), F.lit(m)))
-    sized = wanted.join(carriers.select(F.col("idx").alias("c"), F.length("text").alias("len")), "c")
-    before = F.coalesce(F.sum("len").over(Window.partitionBy("idx").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    used = sized.withColumn("before", before).where(F.col("before") < 2 * target_chars).join(carriers.select(F.col("idx").alias("c"), "text"), "c")
-    built = used.groupBy("idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n\n").alias("carrier"))
-    return tasks.join(built, "idx", "left").withColumn("carrier", F.when(F.length("carrier") >= target_chars, F.col("carrier")))
+    target = (F.lit(target_chars) if isinstance(target_chars, int) else F.col(target_chars)).cast("long")
+    wanted = tasks.select("idx", target.alias("target_chars")).distinct()
+    taken = carrier_ranges(wanted, carriers.select("idx", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("len")), rounds)
+    places = taken.select("idx", "target_chars", F.explode(F.sequence("first", "last")).alias("at")).withColumn("place", F.pmod("at", F.lit(m)))
+    texts = carriers.where(F.length("text") > 0).select(F.col("idx").cast("long").alias("place"), "text")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n\n").alias("carrier")
+    built = places.join(texts, "place").groupBy(F.col("idx").alias("__idx"), F.col("target_chars").alias("__target")).agg(whole).where(F.length("carrier") >= F.col("__target"))
+    return tasks.join(built, (F.col("idx") == F.col("__idx")) & (target == F.col("__target")), "left").drop("__idx", "__target")
 
 
 FILLER = ("The river was quiet that day.", "Someone closed the window softly.", "A list of supplies lay on the desk.", "Nothing else happened before noon.")

@@ -10,6 +10,7 @@ from foliant.operators import chunk as C
 from foliant.operators import compress as K
 from foliant.operators import normalize as N
 from foliant.operators import retrieve as R
+from foliant.operators.evaluate import global_rank
 from foliant.operators.panel import evenly_spaced
 from foliant.plans import views as V
 from foliant.session import table
@@ -66,6 +67,15 @@ def carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("item_id", F.length(C.splice("passage", "text", 1000)).alias("chars"), F.contains(C.splice("passage", "text", 1000), F.col("passage")).alias("whole"))
 
 
+def carrier_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a task that takes carriers from its own place on until it has twice the text of its first one, cleaned; what was taken, by digest."""
+    docs = table(spark, sf_dir, "documents")
+    cleaned = C.clean_carrier("text", ["the", "and", "der", "que"], ["The", "Thing"])
+    carriers = global_rank(docs.select("doc_id", F.coalesce(cleaned, F.lit("")).alias("text"), F.length(F.coalesce("text", F.lit(""))).alias("raw")), "doc_id", "rank").select("doc_id", (F.col("rank") - 1).alias("idx"), "text", "raw")
+    built = C.assemble_carriers(carriers.select("doc_id", "idx", "raw"), carriers.select("idx", "text"), "raw")
+    return built.select("doc_id", F.length("carrier").alias("chars"), F.sha1(F.col("carrier").cast("binary")).alias("sha1"))
+
+
 def unit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best units of each document by density within 60 tokens."""
     return K.top_by_density(K.unit_scores(V.contexts(spark, sf_dir)), 60).select("context_id", "idx", "rank", F.round("base_score", 6).alias("base_score"), "spent")
@@ -159,7 +169,7 @@ def text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        conversation_pairs, spread_pairs, window_chunks, paragraph_chunks, page_store, pages_of_documents, sentence_units, episode_chunks, padded_contexts, carriers, unit_scores, compressed_entropy, compressed_notebook, passage_search,
+        conversation_pairs, spread_pairs, window_chunks, paragraph_chunks, page_store, pages_of_documents, sentence_units, episode_chunks, padded_contexts, carriers, carrier_tasks, unit_scores, compressed_entropy, compressed_notebook, passage_search,
         expanded_search, turn_scores, question_search, working_sets, evidence_packets, raw_snippets, grep_documents, count_documents, grep_windows, sampled_turns, neighbour_turns, task_table, text_terms,
     )
 }
@@ -248,3 +258,12 @@ ORACLES["carriers"] = """
     c AS (SELECT doc_id, array_to_string(kept, chr(10)) AS t FROM l), n AS (SELECT greatest(1, count(*)) AS n FROM documents),
     s AS (SELECT item_id, text AS passage, substring(t, 1, 500) || chr(10) || chr(10) || text || chr(10) || chr(10) || right(t, 500) AS x FROM benchmark CROSS JOIN n JOIN c ON c.doc_id = item_id % n)
     SELECT item_id, length(x) AS chars, contains(x, passage) AS whole FROM s"""
+ORACLES["carrier_tasks"] = """
+    WITH l AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]') AND NOT regexp_matches(regexp_replace(x, '[ªµºÀ-ÖØ-öø-ʯͰ-῿]', '_', 'g'), '^\\s*(?:The|Thing)\\b')
+        AND NOT (length(x) <= 240 AND regexp_matches(regexp_replace(x, '[ªµºÀ-ÖØ-öø-ʯͰ-῿]', '_', 'g'), '(?i)\\b(?:the|and|der|que)\\b'))) AS kept FROM documents),
+    c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, coalesce(array_to_string(kept, chr(10)), '') AS t, length(text) AS raw FROM l), n AS (SELECT count(*) AS m FROM c),
+    p AS (
+      SELECT a.doc_id, a.raw, k, b.t, coalesce(sum(length(b.t)) OVER (PARTITION BY a.doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had
+      FROM c a CROSS JOIN n CROSS JOIN LATERAL (SELECT unnest(range(3 * m)) AS k) JOIN c b ON b.i = (a.i + k) % m WHERE b.t <> ''),
+    s AS (SELECT doc_id, any_value(raw) AS raw, string_agg(t, chr(10) || chr(10) ORDER BY k) AS carrier FROM p WHERE had < greatest(1, 2 * raw) GROUP BY doc_id)
+    SELECT c.doc_id, CASE WHEN length(carrier) >= s.raw THEN length(carrier) END AS chars, CASE WHEN length(carrier) >= s.raw THEN sha1(carrier) END AS sha1 FROM c LEFT JOIN s USING (doc_id)"""

@@ -75,6 +75,37 @@ def test_carriers(spark):
     assert {(r["context_id"], r["episode"]) for r in parts} == {(1, 0), (1, 1), (2, 0)}
 
 
+def test_carriers_equal_plain_rounds(spark):
+    """Any lengths, targets and numbers of tasks; rows made are those taken."""
+    import random
+
+    rng = random.Random(3)
+    for m in (1, 2, 7, 40):
+        texts = [rng.choice(["", None, "a", "bb" * rng.randrange(1, 30), "long " * rng.randrange(1, 300)]) for _ in range(m)]
+        tasks = [(k, k * 7 % 90, rng.choice([0, 1, 5, 60, 900, 20_000])) for k in range(60)]
+        want = {}
+        for key, idx, target in tasks:
+            pieces, total = [], 0
+            for k in range(3 * m):
+                piece = texts[(idx + k) % m] or ""
+                if piece:
+                    pieces.append(piece)
+                    total += len(piece)
+                    if total >= 2 * target:
+                        break
+            text = "\n\n".join(pieces)
+            want[key] = text if len(text) >= target and pieces else None
+        carriers = spark.createDataFrame(list(enumerate(texts)), "idx long, text string")
+        frame = spark.createDataFrame(tasks, "key int, idx long, target int")
+        assert {r["key"]: r["carrier"] for r in C.assemble_carriers(frame, carriers, "target").collect()} == want
+    sized = spark.createDataFrame([(k, 10) for k in range(1000)], "idx long, len long")
+    some = spark.createDataFrame([(k, 45) for k in range(0, 5000, 7)], "idx long, target_chars long")
+    assert {r["last"] - r["first"] for r in C.carrier_ranges(some, sized).collect()} == {8}
+    none = spark.createDataFrame([], "idx long, text string")
+    assert [r["carrier"] for r in C.assemble_carriers(frame.limit(2), none, 5).collect()] == [None, None]
+    assert C.assemble_carriers(frame.limit(0), carriers, 5).count() == 0
+
+
 def test_cohort_relabel_scans(spark):
     studies = spark.createDataFrame([("s", ["m1", "m2"], ["t1", "t2"])], "study_id string, metadata array<string>, truth array<string>")
     assert {(r["pos"], r["metadata"], r["truth"]) for r in N.cohort_tasks(studies).collect()} == {(0, "m1", "t1"), (1, "m2", "t2")}
