@@ -1,6 +1,7 @@
 """Operators on small literal inputs, and against plain restatements."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -130,7 +131,77 @@ def test_greedy_selection_equals_its_plain_form():
         n = rng.randrange(1, 14)
         score, cost = np.array([rng.choice([1.0, 2.0, 2.5, 4.0]) for _ in range(n)]), np.array([rng.choice([1, 4, 9]) for _ in range(n)])
         tokens = [set(rng.sample("abcdefg", rng.randrange(0, 5))) for _ in range(n)]
-        assert K.greedy_order(score, cost, tokens, np.arange(n), 20, 0.45) == _plain_greedy(score, cost, tokens, 20, 0.45)
+        pairs = [(u, "abcdefg".index(t)) for u, ts in enumerate(tokens) for t in ts]
+        unit, code = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        assert K.diverse_order(score, cost, unit, code, np.arange(n), 20, 0.45) == _plain_greedy(score, cost, tokens, 20, 0.45)
+
+
+def test_selection_of_many_units():
+    """Hundreds of units under a large budget as in the plain form; 100 000 units with common tokens in near-linear time."""
+    import time
+
+    def made(n, seed):
+        rng = np.random.default_rng(seed)
+        tokens = [set(np.minimum(rng.zipf(1.4, rng.integers(3, 12)), 5000).tolist()) for _ in range(n)]
+        pairs = [(u, t) for u, ts in enumerate(tokens) for t in ts]
+        return rng.integers(1, 60, n) / 8.0, rng.integers(5, 40, n), tokens, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+
+    for seed in range(3):
+        score, cost, tokens, unit, code = made(400, seed)
+        for budget in (100, 2000, 10**6):
+            assert K.diverse_order(score, cost, unit, code, np.arange(400), budget, 0.45) == _plain_greedy(score, cost, tokens, budget, 0.45)
+    took = []
+    for n in (25_000, 100_000):
+        score, cost, _, unit, code = made(n, 9)
+        began = time.time()
+        assert len(K.diverse_order(score, cost, unit, code, np.arange(n), 20_000, 0.45)) > 500
+        took.append(time.time() - began)
+    assert took[1] < 60
+
+
+def test_context_windows_equal_plain_ones(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        text = "".join(rng.choice(["garden ", "den", "Mary ", "x", ". ", "a.b*c ", "the garden gate ", "\\Q", "é"]) for _ in range(rng.randrange(0, 200)))
+        rows.append((k, 1, text if k else None, rng.sample(["garden", "den", "mary", "x", "a.b*c", "gate", "absent", "\\q", "garden"], rng.randrange(0, 8))))
+    frame = spark.createDataFrame(rows, "question_id int, page_id int, text string, terms array<string>")
+    for most, radius in ((8, 30), (2, 5), (4, 0)):
+        got = {r["question_id"]: r["windows"] for r in R.context_windows(frame, most, radius).collect()}
+        for k, _, text, terms in rows:
+            places = [(m.start(), m.end(), n) for t in sorted({t for t in terms if len(t) > 1}, key=lambda t: (-len(t), t)) for n, m in enumerate(re.finditer(re.escape(t), (text or "").lower()))]
+            places = sorted(p[:2] for i, p in enumerate(places) if i < 3 * most or p[2] == 0)
+            want, end = [], -1
+            for s, e in places:
+                if len(want) < most and max(0, s - radius) > end:
+                    want.append(text[max(0, s - radius) : e + radius].strip())
+                    end = min(len(text), e + radius)
+            assert got[k] == want, (k, most)
+
+
+def test_raw_snippets_equal_plain_ones(spark):
+    rng = random.Random(8)
+    said = ["What about the garden gate and the silver lantern near Oslo?", "Who counted lanterns, ladders, letters, lemons, lilies, lizards, lockets, locks, logs, looms, loaves, lutes and lynxes?", ""]
+    texts = ["".join(rng.choice(["Garden gate ", "silver ", "lantern ", "the rest of it ", "lemons and lilies ", "oslo. ", "." * 40]) for _ in range(n)) for n in (0, 5, 400, 3000)]
+    contexts = spark.createDataFrame(list(enumerate(texts)), "context_id int, text string")
+    questions = spark.createDataFrame([(10 * c + q, c, said[q]) for c in range(4) for q in range(3)], "question_id int, context_id int, question string")
+    from foliant.functions import text as T
+
+    terms = {r["question_id"]: r["t"] for r in questions.select("question_id", T.ranked_terms(F.col("question")).alias("t")).collect()}
+    got = {}
+    for r in R.raw_snippets(contexts, questions, chars=90, quota=20).collect():
+        got.setdefault(r["question_id"], set()).add((r["term"], r["start"], r["end"], r["window"]))
+    for qid, listed in terms.items():
+        text, cells, want = texts[qid // 10], set(), set()
+        for term in listed:
+            left = max(3, 20 // len(listed))
+            for m in re.finditer(re.escape(term), text.lower()):
+                a, z = max(0, m.start() - 90), min(len(text), m.end() + 90)
+                if left and (a // 200, z // 200) not in cells:
+                    cells.add((a // 200, z // 200))
+                    want.add((term, a, z, text[a:z]))
+                    left -= 1
+        assert got.get(qid, set()) == want
 
 
 def test_compression_keeps_what_is_asked_for(spark):
