@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators import panel as P
 from foliant.plans import views as V
-from foliant.session import shared_dir, table
+from foliant.session import shared_dir, ship, table
 from foliant.streaming import jobs as J
+from foliant.streaming import tiers, upsert
 
 
 def first_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,12 +91,15 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finished(spark, J.daily_rollup(_stream(spark, sf_dir, True)), "append").select(F.date_from_unix_date(F.floor(F.unix_timestamp("day") / 86400).cast("int")).cast("string").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Continuous scoring of events as runs: numbers against the number wanted."""
+def _scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _stream(spark, sf_dir)
     k = F.get_json_object("props", "$.k").cast("int")
-    runs = e.select(F.concat(F.lit("h"), F.col("user_id") % 3).alias("harness"), F.lit("m").alias("model"), F.col("event_type").alias("condition"), F.lit("numeric_075").alias("scorer"), ((k + F.col("event_id") % 3) % 100).cast("string").alias("answer"), k.cast("string").alias("gold_answer"), F.when(F.col("event_type") == "error", "boom").alias("error"))
-    return _finished(spark, J.scored_summary(runs), "complete").withColumn("score_sum", F.round("score_sum", 4))
+    return e.select(F.concat(F.lit("h"), F.col("user_id") % 3).alias("harness"), F.lit("m").alias("model"), F.col("event_type").alias("condition"), F.lit("numeric_075").alias("scorer"), ((k + F.col("event_id") % 3) % 100).cast("string").alias("answer"), k.cast("string").alias("gold_answer"), F.when(F.col("event_type") == "error", "boom").alias("error"))
+
+
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuous scoring of events as runs: numbers against the number wanted."""
+    return _finished(spark, J.scored_summary(_scored_events(spark, sf_dir)), "complete").withColumn("score_sum", F.round("score_sum", 4))
 
 
 def stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +125,32 @@ def event_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.age_tier(e, last or "1970-01-01").groupBy("tier", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+TIER_TIMES = ("2024-01-05", "2024-01-12", "2024-01-20", "2024-01-28")
+
+
+def stream_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events of each kind are in each tier at several times, from the changes that timers told."""
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    ship(spark)
+    changes = tiers.tier_changes(_stream(spark, sf_dir, True), ["event_type"], cold=20)
+    J.run_to_end(changes, f"{folder}/state", f"{folder}/out", timers=True)
+    told = spark.read.schema(changes.schema).parquet(f"{folder}/out")
+    parts = [tiers.tiers_at(told, f"{t} 00:00:00", ["event_type"]).groupBy("event_type", "tier").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("day"), "event_type", "tier", "n") for t in TIER_TIMES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of stream_scores as a table that each batch updates in place: one row a key."""
+    folder = f"{shared_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    scored = J.scored_summary(_scored_events(spark, sf_dir))
+    upsert.upsert_stream(scored, folder, f"{folder}/checkpoint", ["harness", "model", "condition"], buckets=8)
+    return upsert.read_upserted(spark, folder).withColumn("score_sum", F.round("score_sum", 4))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        first_runs, last_runs, balanced_labels, short_buckets, cross_panel, experiment_jobs, allowed_documents, merged_roots, missing_types, stream_state, stream_rollup, stream_scores, stream_blocks, stream_first, stream_reruns, event_tiers,
+        first_runs, last_runs, balanced_labels, short_buckets, cross_panel, experiment_jobs, allowed_documents, merged_roots, missing_types, stream_tiers, stream_upserts, stream_state, stream_rollup, stream_scores, stream_blocks, stream_first, stream_reruns, event_tiers,
     )
 }
 
@@ -149,3 +176,8 @@ ORACLES = {
     "stream_reruns": "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1",
     "event_tiers": "SELECT CASE WHEN d <= 2 THEN 'hot' WHEN d <= 14 THEN 'warm' ELSE 'cold' END AS tier, event_type, count(*) AS n FROM (SELECT event_type, date_diff('day', ts::DATE, (SELECT max(ts) FROM events)::DATE) AS d FROM events) GROUP BY ALL",
 }
+ORACLES["stream_upserts"] = ORACLES["stream_scores"]
+ORACLES["stream_tiers"] = """
+    SELECT strftime(t, '%Y-%m-%d') AS day, event_type, CASE WHEN d <= 2 THEN 'hot' WHEN d <= 14 THEN 'warm' ELSE 'cold' END AS tier, count(*) AS n
+    FROM (SELECT t, event_type, date_diff('day', ts, t) AS d FROM events CROSS JOIN (SELECT unnest([TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-12', TIMESTAMP '2024-01-20', TIMESTAMP '2024-01-28']) AS t) WHERE ts <= t)
+    WHERE d <= 20 GROUP BY ALL"""

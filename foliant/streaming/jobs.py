@@ -61,11 +61,25 @@ def without_reruns(events: DataFrame, keys: Sequence[str], delay: str = "1 day",
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def run_to_end(stream: DataFrame, checkpoint: str, out: str, mode: str = "append") -> None:
-    """Process all that is there now into Parquet (append) or the last state of each batch (complete, update) by foreachBatch."""
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_end(stream: DataFrame, checkpoint: str, out: str, mode: str = "append", timers: bool = False) -> None:
+    """Process all that is there now into Parquet (append) or the last state of each batch (complete, update) by foreachBatch.
+
+    ``timers`` starts the stream on RocksDB's state store, as state with timers needs; the session's own setting is put back. For a table of
+    the latest rows see upsert_stream.
+    """
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode(mode)
-    if mode == "append":
-        q = writer.format("parquet").option("path", out).start()
-    else:
-        q = writer.foreachBatch(lambda df, n: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}" if mode == "complete" else f"{out}/batch={n}")).start()
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    if timers:
+        conf.set(name, ROCKS)
+    try:
+        if mode == "append":
+            q = writer.format("parquet").option("path", out).start()
+        else:
+            q = writer.foreachBatch(lambda df, n: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}" if mode == "complete" else f"{out}/batch={n}")).start()
+    finally:
+        conf.set(name, before)
     q.awaitTermination()
