@@ -280,9 +280,11 @@ def repair_conversations(rows: DataFrame, conversations: DataFrame | None = None
     kind = dict(plain.dtypes)["conv_id"]
     none = F.lit(None).cast("string")
     heads = named.select("conv_id", F.lit(0).alias("seq"), F.lit(None).cast("long").alias("turn"), none.alias("initial"), none.alias("fault"), none.alias("symbol"))
-    judged = marked(plain).unionByName(heads).repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInArrow(_judge, f"conv_id {kind}, {_JUDGED}")
+    # Dealt out by a hash of the id: where both sides of a union are partitioned by the id itself Spark leaves a repartition by it out, and may then coalesce the sides unlike.
+    by_id = F.xxhash64("conv_id")
+    judged = marked(plain).unionByName(heads).repartition(by_id).sortWithinPartitions("conv_id", "seq").mapInArrow(_judge, f"conv_id {kind}, {_JUDGED}")
     figures = [x.split() for x in _JUDGED.split(", ")]
     told = judged.select("conv_id", *[n for n, _ in figures], none.alias("role"), none.alias("text"), F.lit(0).alias("part"), F.lit(None).cast("long").alias("turn"))
     turns = plain.select("conv_id", *[F.lit(None).cast(t).alias(n) for n, t in figures], "role", "text", F.lit(1).alias("part"), "turn")
-    ordered = told.unionByName(turns).repartition("conv_id").sortWithinPartitions("conv_id", "part", F.asc_nulls_first("turn"), "role", "text").drop("part", "turn")
+    ordered = told.unionByName(turns).repartition(by_id).sortWithinPartitions("conv_id", "part", F.asc_nulls_first("turn"), "role", "text").drop("part", "turn")
     return ordered.mapInArrow(_apply, f"conv_id {kind}, {_JUDGED}, repaired_sha256 string")
