@@ -45,13 +45,17 @@ def real_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.real_aggregation_tasks(raw, ["en", "fr"]).select(*_KEY, F.get_json_object("metadata", "$.episodes").cast("int").alias("episodes"))
 
 
+#: As many questions of a type as there are.
+EVERY = 2**31 - 1
+
+
 def memory_question_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as questions whose haystacks are documents; every third trajectory is missing."""
     items = table(spark, sf_dir, "benchmark")
     questions = items.select(F.col("item_id").cast("string").alias("id"), F.concat(F.lit("t"), (F.col("item_id") % 4).cast("string")).alias("question_type"), F.col("text").alias("question"), F.when(F.col("item_id") % 2 == 0, "a, b").otherwise("300").alias("answer"), F.lit("d").alias("domain"), F.lit("e").alias("environment"))
     haystack = items.select(F.col("item_id").cast("string").alias("question_id"), F.posexplode(F.array(F.col("item_id"), F.col("item_id") + 7, F.col("item_id") + 1_000_000_000)).alias("pos", "t")).select("question_id", "pos", F.col("t").cast("string").alias("traj_id"))
     rendered = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("traj_id"), F.coalesce("text", F.lit("")).alias("rendered"))
-    out = N.memory_questions(questions, haystack, rendered, 5)
+    out = N.memory_questions(questions, haystack, rendered, EVERY)
     return out.select(*_KEY, F.sha1(F.col("context").cast("binary")).alias("context_sha1"), F.get_json_object("metadata", "$.missing").cast("int").alias("missing"))
 
 
@@ -114,7 +118,7 @@ ORACLES = {
     "real_tasks": """SELECT concat('oolong_real-', lang, '-', doc_id) AS task_id, lang AS source_task, CASE doc_id % 3 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN 'a, b' ELSE 'word' END AS gold_answer,
         CASE doc_id % 3 WHEN 0 THEN 'numeric_075' WHEN 1 THEN 'csv_overlap_ci' ELSE 'oolong_text_ci' END AS scorer, 2 AS episodes FROM documents WHERE lang IN ('en', 'fr')""",
     "memory_question_tasks": """
-        WITH q AS (SELECT *, 't' || item_id % 4 AS t FROM benchmark QUALIFY row_number() OVER (PARTITION BY item_id % 4 ORDER BY item_id::VARCHAR) <= 5),
+        WITH q AS (SELECT *, 't' || item_id % 4 AS t FROM benchmark),
         c AS (SELECT item_id, string_agg(d.text, chr(10) || chr(10) ORDER BY d.doc_id) AS ctx, count(d.doc_id) AS n FROM q LEFT JOIN documents d ON d.doc_id IN (item_id, item_id + 7, item_id + 1000000000) GROUP BY 1)
         SELECT concat('longmemeval-', t, '-', item_id) AS task_id, t AS source_task, CASE WHEN item_id % 2 = 0 THEN 'a, b' ELSE '300' END AS gold_answer,
           CASE WHEN item_id % 2 = 1 THEN 'exact_ci' WHEN contains(lower(text), 'ordered') THEN 'substring_ci' ELSE 'csv_set_ci' END AS scorer, sha1(coalesce(ctx, '')) AS context_sha1, 3 - n AS missing FROM q JOIN c USING (item_id)""",

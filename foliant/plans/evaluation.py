@@ -142,10 +142,22 @@ def answer_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy(mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"), F.count_if(text == F.col("answer")).alias("n_same"), F.count_if(text == F.concat(F.lit("x"), F.col("event_id").cast("string"))).alias("n_line"))
 
 
+def json_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as proofs in nested JSON whose quotes are looked for in what the assistant said."""
+    t = V.turns(spark, sf_dir).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    listed = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    said = t.groupBy("conv_id").agg(listed.alias("t"))
+    item = lambda x: F.struct(F.concat(F.lit("a source ] that is no quote: "), x["role"]).alias("source"), F.struct(F.concat(F.lit(" "), x["text"], F.lit("\n")).alias("quote"), F.array(F.lit("some other note")).alias("notes")).alias("found"))
+    proof = F.to_json(F.struct(F.lit("an answer of some length").alias("answer"), F.transform("t", item).alias("evidence"), F.struct(F.transform("t", lambda x: F.array(F.concat(F.lit("again: "), x["text"]))).alias("citation_list")).alias("more")))
+    contexts = said.select(F.col("conv_id").alias("context_id"), F.array_join(F.transform(F.filter("t", lambda x: x["role"] == "assistant"), lambda x: x["text"]), " ").alias("text"))
+    quotes = E.quotes_from_json(said.select(F.col("conv_id").alias("context_id"), proof.alias("proof")), keep=6)
+    return E.verify_quotes(quotes, contexts).select("context_id", "ord", F.sha1(F.col("quote").cast("binary")).alias("quote_sha1"), "exact")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        gold_retention, passage_quotes, run_summary, batch_stats, error_counts, best_and_worst_tasks, arm_summary, paired_arms, batch_comparison, conversation_retention, judge_merge, context_statistics,
+        gold_retention, passage_quotes, json_quotes, run_summary, batch_stats, error_counts, best_and_worst_tasks, arm_summary, paired_arms, batch_comparison, conversation_retention, judge_merge, context_statistics,
         panel_composition, compactions_by_length, context_groups, call_metrics, exact_aggregate_ratio, example_triples, scored_answers, relaxed_scores, semantic_scores, answer_parsing,
     )
 }
@@ -226,3 +238,11 @@ ORACLES = {
         SELECT ['exact', 'exact_ci', 'substring_ci', 'multiple_choice', 'csv_set_ci', 'numeric_075', 'csv_overlap_ci', 'oolong_text_ci', 'oolong_comparison_ci', 'date_ci', 'month_year_ci'][j + 1] AS scorer, count(*) AS n,
           sum(CASE WHEN j IN (0, 1, 5, 7) THEN n % 3 = 0 WHEN j = 2 THEN n % 3 = 0 AND k >= 10 WHEN j = 3 THEN n % 4 = k % 4 WHEN j = 8 THEN n % 2 = k % 2 ELSE false END::INT)::DOUBLE AS relaxed FROM e GROUP BY j""",
 }
+_CUT = lambda c: f"regexp_replace({c}, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')"
+ORACLES["json_quotes"] = f"""
+    WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+    q AS (SELECT conv_id, 0 AS part, turn, role, text, {_CUT("text")} AS s FROM t UNION ALL SELECT conv_id, 1, turn, role, text, {_CUT("'again: ' || text")} FROM t),
+    f AS (SELECT conv_id, s, min((part, turn, role, text)) AS at FROM q WHERE length(s) BETWEEN 8 AND 2000 GROUP BY ALL),
+    r AS (SELECT conv_id, s, row_number() OVER (PARTITION BY conv_id ORDER BY at) - 1 AS ord FROM f),
+    c AS (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS ctx FROM t GROUP BY 1)
+    SELECT conv_id AS context_id, ord, sha1(s) AS quote_sha1, contains(ctx, s) AS exact FROM r JOIN c USING (conv_id) WHERE ord < 6"""

@@ -79,6 +79,17 @@ def haystack_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_haystack(spark, path, by_line=True)
 
 
+def haystack_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of JSON maps that are a file each, read by byte ranges; ids hold brackets, quotes and backslashes, and a last question has no list."""
+    path = _folder(spark, "haystack-maps")
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda t: F.concat(t["role"], F.lit('-]"\\-'), t["turn"]))
+    entries = V.turns(spark, sf_dir).groupBy("conv_id").agg(ids.alias("ids")).select(F.pmod("conv_id", F.lit(4)).alias("map"), F.lit(1).alias("kind"), "conv_id", F.to_json(F.create_map(F.concat(F.lit("q"), "conv_id"), "ids")).alias("m"))
+    lines = entries.select("map", "kind", "conv_id", F.expr("substring(m, 2, length(m) - 2) || ','").alias("value"))
+    frame = entries.select("map", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.lit("{").alias("value")), F.struct(F.lit(2).alias("kind"), F.lit('"none": null}').alias("value")))).alias("x")).distinct().select("map", "x.kind", F.lit(None).cast("long").alias("conv_id"), "x.value")
+    lines.unionByName(frame).repartition("map").sortWithinPartitions("map", "kind", "conv_id").select("map", "value").write.partitionBy("map").text(path)
+    return S.read_haystack(spark, path)
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.turns(spark, sf_dir).select(F.concat(F.lit("session-"), "conv_id").alias("path"), F.col("turn").alias("line_no"), "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -127,7 +138,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/manifest").join(read, read.columns).select(*read.columns)
 
 
-QUERIES = {f.__name__: f for f in (task_files, raw_lines, run_files, scanned_columns, wanted_buckets, trajectory_files, haystack_files, transcripts, agent_logs, result_files, page_files)}
+QUERIES = {f.__name__: f for f in (task_files, raw_lines, run_files, scanned_columns, wanted_buckets, trajectory_files, haystack_files, haystack_map, transcripts, agent_logs, result_files, page_files)}
 
 _LOG = "WITH l AS (SELECT 'session-' || conv_id AS path, conv_id, turn, role, coalesce(text, '') AS text FROM conversations)"
 
@@ -140,6 +151,7 @@ ORACLES = {
     "wanted_buckets": """SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority < '3')
         QUALIFY row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) <= CASE WHEN o_orderpriority < '2' THEN 40 ELSE 15 END""",
     "trajectory_files": "SELECT user_id::VARCHAR AS traj_id, 'goal ' || max(event_id) AS goal, max_by(event_type, event_id) AS outcome FROM events GROUP BY user_id",
+    "haystack_map": "SELECT 'q' || conv_id AS question_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS pos, role || '-]\"\\-' || turn AS traj_id FROM conversations",
     "haystack_files": "SELECT 'q' || conv_id AS question_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS pos, role || '-' || turn AS traj_id FROM conversations",
     "transcripts": f"""{_LOG}, s AS (SELECT path, conv_id, turn, role, CASE WHEN turn % 3 = 2 THEN ' ok ' ELSE text END || CASE WHEN conv_id % 2 = 0 THEN '' ELSE ' end' END AS text FROM l)
         SELECT path, row_number() OVER (PARTITION BY path ORDER BY turn) - 1 AS turn, role, sha1(text) AS text_sha1 FROM s WHERE role IN ('user', 'assistant') AND length(trim(text)) >= 10""",

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.sources.buckets import read_buckets as read_buckets
+from foliant.sources.splits import read_lines as read_lines
+from foliant.sources.splits import read_map
 
 # Sources, scorers and bounds of the task schema.
 BENCHMARKS = ("ruler", "babilong", "oolong_synth", "oolong_real", "longmemeval", "swe_chat", "clb", "synthetic")
@@ -42,7 +46,7 @@ def validate_tasks(tasks: DataFrame) -> DataFrame:
 def read_tasks(spark: SparkSession, paths: Sequence[str], allow: DataFrame | None = None, strict: bool = True, glob: str = "*.jsonl") -> DataFrame:
     """Task rows of JSON lines under files and folders, validated; ``allow`` (task_id) keeps only those.
 
-    Strict: reading fails at the first bad row, with its file. Otherwise rows come with errors and path.
+    Strict: reading fails at the first bad row, with its file, and if there is no row at all. Otherwise rows come with errors and path.
     """
     rows = validate_tasks(_json(spark, paths, TASK, pathGlobFilter=glob).withColumn("path", F.col("_metadata.file_path")))
     if allow is not None:
@@ -50,6 +54,8 @@ def read_tasks(spark: SparkSession, paths: Sequence[str], allow: DataFrame | Non
     if not strict:
         return rows
     told = F.concat_ws(": ", "path", "task_id", F.array_join("errors", ", "))
+    if rows.isEmpty():
+        raise ValueError(f"no tasks in {', '.join(paths)}" + ("" if allow is None else " among those allowed"))
     return rows.withColumn("task_id", F.when(F.size("errors") > 0, F.raise_error(told).cast("string")).otherwise(F.col("task_id"))).drop("errors", "path", "_corrupt")
 
 
@@ -72,15 +78,6 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str], limit:
     return rows if limit is None else rows.limit(limit)
 
 
-def read_buckets(spark: SparkSession, path: str, wanted: DataFrame, keys: Sequence[str], order: Sequence[str], n_col: str = "n") -> DataFrame:
-    """The first n rows of each wanted bucket. Keys alone are read and ranked; the other columns are read for the rows chosen."""
-    from foliant.operators.panel import first_n
-
-    slim = spark.read.parquet(path).select(*keys, *order).join(wanted, list(keys))
-    chosen = first_n(slim, keys, order, n_col).select(*keys, *order)
-    return spark.read.parquet(path).join(chosen, [*keys, *order], "left_semi")
-
-
 def read_trajectories(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Trajectories by id or trajectory_id; of rows with one id the last in the file stays, and of several files that in the last by name."""
     from foliant.operators.panel import keep_last
@@ -91,9 +88,12 @@ def read_trajectories(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_haystack(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
-    """(question_id, pos, traj_id) of JSON maps from question to trajectory ids: one a file, which is then one row, or one a line."""
-    whole = spark.read.text(path, wholetext=not by_line).select(F.from_json("value", "map<string,array<string>>").alias("m"))
-    return whole.select(F.explode("m").alias("question_id", "ids")).select("question_id", F.posexplode("ids").alias("pos", "traj_id"))
+    """(question_id, pos, traj_id) of JSON maps from question to trajectory ids: one a file, of any size (see read_map), or one a line."""
+    if by_line:
+        maps = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("question_id", "ids"))
+    else:
+        maps = read_map(spark, path).select(F.col("key").alias("question_id"), F.col("values").alias("ids"))
+    return maps.select("question_id", F.posexplode("ids").alias("pos", "traj_id"))
 
 
 def _said(content: Column) -> Column:
@@ -139,12 +139,6 @@ def prefer(first: str, fallback: str) -> Column:
     return F.when(F.size(first) > 0, F.col(first)).otherwise(F.col(fallback))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, value) of text files; numbers come from a file's own order, a file being one record until it is split."""
-    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("v"))
-    return whole.select("path", F.posexplode("v").alias("k", "value")).select("path", (F.col("k") + 1).cast("long").alias("line_no"), "value").where(F.trim("value") != "")
-
-
 def duplicate_ids(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
@@ -164,10 +158,24 @@ def write_results(rows: DataFrame, path: str, kind: str = "csv", by: Sequence[st
     (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
 
 
-def write_pages(pages: DataFrame, path: str, buckets: int = 64) -> None:
-    """The page store: pages by a hash bucket of their context, and beside it a manifest (write_manifest's aggregate)."""
-    pages.withColumn("bucket", F.pmod(F.xxhash64("context_id"), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/pages")
+#: Characters of a page store's bucket, and of one of its files.
+BUCKET_CHARS, FILE_CHARS = 1 << 30, 1 << 28
+
+
+def write_pages(pages: DataFrame, path: str, buckets: int | None = None, bucket_chars: int = BUCKET_CHARS, file_chars: int = FILE_CHARS) -> int:
+    """The page store: pages by a hash bucket of their context, and beside it a manifest (write_manifest's aggregate); returns the number of buckets.
+
+    There are as many buckets as ``bucket_chars`` go into what is written, unless a number is given. A bucket is written by several tasks,
+    as many as ``file_chars`` go into the largest context or the mean bucket, pages being dealt out by number, so a context that holds much of the pages is not one
+    task's. No pages give an empty store.
+    """
+    sizes = manifest(pages).agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("all"), F.coalesce(F.max("chars"), F.lit(0)).alias("most")).first()
+    n = buckets or max(1, math.ceil(sizes["all"] / bucket_chars))
+    files = max(1, math.ceil(max(sizes["most"], sizes["all"] / n) / file_chars))
+    dealt = pages.withColumn("bucket", F.pmod(F.xxhash64("context_id"), F.lit(n))).repartition(n * files, "bucket", F.pmod("page_id", F.lit(files)))
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/pages")
     manifest(pages).write.mode("overwrite").parquet(f"{path}/manifest")
+    return n
 
 
 def manifest(pages: DataFrame) -> DataFrame:

@@ -326,3 +326,33 @@ def test_story_in_rows_equals_story_in_one(spark):
     assert sorted(story.sentence_offsets(parts, part_col="part").collect()) == sorted(story.sentence_offsets(whole).collect())
     key = lambda rows: sorted(str(r) for r in rows.collect())
     assert key(story.extract_story_events(parts, part_col="part")) == key(story.extract_story_events(whole)) != []
+
+
+def test_quotes_of_nested_json(spark):
+    """Any nesting: strings under their nearest key, in order, as a plain walk finds them."""
+    import json
+
+    rng = random.Random(3)
+    words = ["short", "a long enough text", "one with ] and } and \"marks\"", "  blanks around it  ", "é" * 9, "x" * 2001, "again the same one", "again the same one"]
+    keys = ["quote", "source_quotes", "Evidence", "citations", "a_quote", "quoted", "unquote", "source", "note", "misquote", "preevidencepost"]
+
+    def made(depth):
+        kind = rng.randrange(3) if depth else 2
+        if kind == 0:
+            return {rng.choice(keys): made(depth - 1) for _ in range(rng.randrange(4))}
+        return [made(depth - 1) for _ in range(rng.randrange(4))] if kind == 1 else rng.choice([*words, 5, None, True])
+
+    def walk(node, key, out):
+        for name, x in node.items() if isinstance(node, dict) else ((key, x) for x in node) if isinstance(node, list) else ():
+            walk(x, name, out)
+        if isinstance(node, str) and re.search(r"(^|_)(source_)?quotes?$|citation|evidence", key, re.I) and 8 <= len(node.strip()) <= 2000 and node.strip() not in out:
+            out.append(node.strip())
+        return out
+
+    values = [made(6) for _ in range(300)] + [{"quotes": ["has ] bracket inside here", "second long quote"]}, {"evidence": [{"source": "first long one", "quote": "second long one"}]}]
+    proofs = spark.createDataFrame([*((k, json.dumps(v)) for k, v in enumerate(values)), (998, "{not json"), (999, None)], "context_id int, proof string")
+    got = {}
+    for r in E.quotes_from_json(proofs, keep=5).collect():
+        got.setdefault(r["context_id"], {})[r["ord"]] = r["quote"]
+    want = {k: dict(enumerate(walk(v, "", [])[:5])) for k, v in enumerate(values)}
+    assert got == {k: v for k, v in want.items() if v} and got[300] == {0: "has ] bracket inside here", 1: "second long quote"} and got[301] == {0: "second long one"}

@@ -1,7 +1,9 @@
 """Readers and writers, and operators on what they read."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import chunk as C
@@ -9,6 +11,8 @@ from foliant.operators import evaluate as E
 from foliant.operators import normalize as N
 from foliant.operators import panel as P
 from foliant.sources import tasks as S
+from foliant.sources.buckets import index_files
+from foliant.sources.splits import read_map
 
 
 def test_runs_one_a_file(spark, tmp_path):
@@ -62,6 +66,91 @@ def test_page_store_and_lines(spark, tmp_path):
     assert [(r["line_no"], r["value"]) for r in S.read_lines(spark, str(tmp_path / "log.txt")).orderBy("line_no").collect()] == [(1, "a"), (3, "b")]
 
 
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lines_of_long_files(spark, tmp_path, small_splits):
+    """Many tasks read one file and number its lines rightly; short files share tasks."""
+    long = [f"line {k} " + "x" * (k * 37 % 300) if k % 7 else "" for k in range(2000)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "long.txt").write_text("\n".join(long) + "\n")
+    (tmp_path / "in" / "crlf.txt").write_bytes(b"a\r\n\r\nb\r\nlast")
+    (tmp_path / "in" / "none.txt").write_text("")
+    lines = S.read_lines(spark, str(tmp_path / "in"))
+    got = {}
+    for r in lines.collect():
+        got.setdefault(r["path"].rsplit("/", 1)[1], {})[r["line_no"]] = r["value"]
+    assert got["long.txt"] == {k + 1: v for k, v in enumerate(long) if v} and got["crlf.txt"] == {1: "a", 3: "b", 4: "last"} and set(got) == {"long.txt", "crlf.txt"}
+    assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 50
+
+
+def test_one_json_map_by_splits(spark, tmp_path, small_splits):
+    rng = random.Random(9)
+    odd = ['a]b', '[x', 'say "]" and \\ ', "é]]", "plain", "", '\\"', "line\nend]"]
+    for style in ({}, {"indent": 2}, {"separators": (",", ":")}):
+        made = {f"q{k}{rng.choice(odd)}": None if k % 11 == 3 else [rng.choice(odd) + str(j) for j in range(rng.randrange(0, 9))] for k in range(400)}
+        path = tmp_path / f"map{len(style)}{style.get('indent', 0)}.json"
+        path.write_text(json.dumps(made, ensure_ascii=rng.random() < 0.5, **style))
+        assert {r["key"]: r["values"] for r in read_map(spark, str(path)).collect()} == {k: v for k, v in made.items() if v is not None}
+    hay = S.read_haystack(spark, str(path)).collect()
+    assert sorted((r["question_id"], r["pos"], r["traj_id"]) for r in hay) == sorted((k, j, t) for k, v in made.items() for j, t in enumerate(v or []))
+    (tmp_path / "bad.json").write_text('{"q": 5, "r": [1]}')
+    with pytest.raises(Exception, match="not a map of lists"):
+        read_map(spark, str(tmp_path / "bad.json")).collect()
+    (tmp_path / "empty.json").write_text(" {} \n")
+    assert read_map(spark, str(tmp_path / "empty.json")).collect() == []
+
+
+def test_buckets_open_few_files(spark, tmp_path):
+    """Files that hold no wanted bucket, or only rows behind full ones, are not opened; rows are those of a full scan."""
+    for k in range(12):
+        spark.createDataFrame([(1000 * k + j, f"g{(k // 4 + j) % 3}" if k < 8 else "far", "x" * (j % 5), j % 10 == 0) for j in range(200)], "id long, g string, v string, rare boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = spark.read.parquet(str(tmp_path / "in"))
+    wanted = spark.createDataFrame([("g0", 5), ("g1", 100), ("absent", 3)], "g string, n int")
+    full = {g: sorted(r["id"] for r in rows.where(F.col("g") == g).collect())[:n] for g, n in (("g0", 5), ("g1", 100))}
+    index = index_files(spark, str(tmp_path / "in"), ["g"], ["id"])
+    index.write.parquet(str(tmp_path / "index"))
+    kept = spark.read.parquet(str(tmp_path / "index"))
+    for given in (None, kept):
+        got = S.read_buckets(spark, str(tmp_path / "in"), wanted, ["g"], ["id"], index=given)
+        assert sorted(r["id"] for r in got.collect()) == sorted(full["g0"] + full["g1"]) and got.columns == rows.columns
+        assert len(got.inputFiles()) == 2
+    some = S.read_buckets(spark, str(tmp_path / "in"), wanted, ["g"], ["id"], index=kept, where=F.col("rare"))
+    rare = {g: sorted(r["id"] for r in rows.where(F.col("g") == g).where("rare").collect())[:n] for g, n in (("g0", 5), ("g1", 100))}
+    assert sorted(r["id"] for r in some.collect()) == sorted(rare["g0"] + rare["g1"]) and len(some.inputFiles()) <= 8
+    one = S.read_buckets(spark, str(tmp_path / "in"), wanted.where("g = 'g0'"), ["g"], ["id"], index=kept, where=F.col("rare"))
+    assert sorted(r["id"] for r in one.collect()) == rare["g0"] and len(one.inputFiles()) == 1
+    none = S.read_buckets(spark, str(tmp_path / "in"), wanted.where("g = 'absent'"), ["g"], ["id"], index=kept)
+    assert none.count() == 0 and none.columns == rows.columns
+
+
+def test_no_tasks_is_an_error(spark, tmp_path):
+    row = {"task_id": "a", "source_benchmark": "ruler", "source_task": "t", "source_sample_id": "s", "context": "c", "question": "q", "gold_answer": "g", "scorer": "exact"}
+    (tmp_path / "t.jsonl").write_text(json.dumps(row) + "\n")
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "n.jsonl").write_text("")
+    assert S.read_tasks(spark, [str(tmp_path / "t.jsonl")]).count() == 1
+    with pytest.raises(ValueError, match="no tasks"):
+        S.read_tasks(spark, [str(tmp_path / "none")])
+    with pytest.raises(ValueError, match="among those allowed"):
+        S.read_tasks(spark, [str(tmp_path / "t.jsonl")], allow=spark.createDataFrame([("b",)], "task_id string"))
+    assert S.read_tasks(spark, [str(tmp_path / "none")], strict=False).count() == 0
+
+
+def test_page_store_is_sized_by_what_it_holds(spark, tmp_path):
+    pages = C.page_contexts(spark.createDataFrame([(1, "line of a long context\n" * 2000)] + [(k, f"short {k}") for k in range(2, 20)], "context_id int, text string"), 20, 2)
+    assert S.write_pages(pages, str(tmp_path / "one")) == 1
+    n = S.write_pages(pages, str(tmp_path / "many"), bucket_chars=9000, file_chars=4000)
+    assert n == 6
+    kept = spark.read.parquet(str(tmp_path / "many" / "pages"))
+    assert kept.count() == pages.count() and kept.where("context_id = 1").select("_metadata.file_path").distinct().count() > 3
+
+
 def test_carriers(spark):
     carriers = spark.createDataFrame([(0, "a" * 30), (1, "b" * 30), (2, "c" * 30)], "idx int, text string")
     tasks = spark.createDataFrame([(0, "q"), (4, "r")], "idx int, question string")
