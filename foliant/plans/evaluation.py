@@ -242,7 +242,7 @@ _CUT = lambda c: f"regexp_replace({c}, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\
 ORACLES["json_quotes"] = f"""
     WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
     q AS (SELECT conv_id, 0 AS part, turn, role, text, {_CUT("text")} AS s FROM t UNION ALL SELECT conv_id, 1, turn, role, text, {_CUT("'again: ' || text")} FROM t),
-    f AS (SELECT conv_id, s, min((part, turn, role, text)) AS at FROM q WHERE length(s) BETWEEN 8 AND 2000 GROUP BY ALL),
-    r AS (SELECT conv_id, s, row_number() OVER (PARTITION BY conv_id ORDER BY at) - 1 AS ord FROM f),
+    f AS (SELECT conv_id, s, min((part, turn, role, text)) AS place FROM q WHERE length(s) BETWEEN 8 AND 2000 GROUP BY ALL),
+    r AS (SELECT conv_id, s, row_number() OVER (PARTITION BY conv_id ORDER BY place) - 1 AS ord FROM f),
     c AS (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS ctx FROM t GROUP BY 1)
     SELECT conv_id AS context_id, ord, sha1(s) AS quote_sha1, contains(ctx, s) AS exact FROM r JOIN c USING (conv_id) WHERE ord < 6"""
