@@ -84,7 +84,13 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     if not len(positive) or not len(unlabelled):
         return QualityModel(np.zeros(width), float(np.log(prior / (1 - prior))), np.zeros(width), np.ones(width), prior)
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    p, u = (np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))]).astype(np.float32) for x in (positive, unlabelled))
+
+    def standing(x: np.ndarray) -> np.ndarray:
+        out = np.ones((len(x), width + 1), np.float32)
+        np.clip(np.divide(np.subtract(x, mean, out=out[:, :width], casting="unsafe"), scale, out=out[:, :width], casting="unsafe"), -8, 8, out=out[:, :width])
+        return out
+
+    p, u = standing(positive), standing(unlabelled)
     w = np.zeros(width + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -137,12 +143,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     looked = looked.where(F.col("h") <= F.when(F.col("kind") == 1, below[1]).when(F.col("kind") == -1, below[-1]))
     made = looked.mapInArrow(_featured, "kind int, h long, x binary").groupBy("kind", "h").agg(F.first("x").alias("x"))
     made = cut(made)  # features of a bounded number of rows, made once for both kinds
-    one, other = (_matrix(made.where(F.col("kind") == k).orderBy("h").limit(n).select("x").toPandas()["x"]) for k, n in most.items())
+    one, other = (_matrix(made.where(F.col("kind") == k).orderBy("h").limit(n).select("x").toArrow()) for k, n in most.items())
     return fit_nnpu(one, other, 0.5 if prior is None else prior, decay=DECAY)
 
 
-def _matrix(rows) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.float32).reshape(-1, WIDTH)
+def _matrix(rows: pa.Table) -> np.ndarray:
+    """The features of rows, read out of Arrow's own buffers."""
+    out = np.empty((len(rows), WIDTH), np.float32)
+    at = 0
+    for chunk in rows.column(0).chunks:
+        values = chunk.cast(pa.binary(4 * WIDTH))
+        out[at : at + len(chunk)] = np.frombuffer(values.buffers()[1], np.float32, len(chunk) * WIDTH, values.offset * 4 * WIDTH).reshape(-1, WIDTH)
+        at += len(chunk)
+    return out
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
