@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from foliant.functions import text as T
+from foliant.operators.bloom import filter_bits, may_hold
 from foliant.operators.panel import keep_last
 from foliant.session import ship
 
@@ -208,7 +209,7 @@ def verbatim_passages(corpus: DataFrame, passages: DataFrame, head: int = 8, id_
     Texts and passages meet by the hash of ``head`` consecutive tokens, the passage's first, so no text is
     compared with passages that it shares no such run with; then the whole passage is looked for. Passages
     of fewer tokens meet by all they have. Passages are broadcast up to ``broadcast_chars`` characters in all;
-    beyond, hashes alone are shuffled and each candidate fetches its text and passage.
+    beyond, the hashes that a Bloom filter of the passages' heads lets through are shuffled, and each candidate fetches its text and passage.
     """
     fold = lambda c: T.strip(F.lower(F.regexp_replace(c, r"\s+", " ")))
     items = passages.select(passage_id, fold(F.col(text_col)).alias("passage")).where("passage <> ''").withColumn("n", F.least(F.lit(head), F.size(F.split("passage", " "))))
@@ -227,7 +228,10 @@ def verbatim_passages(corpus: DataFrame, passages: DataFrame, head: int = 8, id_
     holds = F.contains(F.concat(F.lit(" "), "folded", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" ")))
     if measured["chars"] <= broadcast_chars:
         return runs.join(F.broadcast(items), "h").where(holds).select(passage_id, id_col).distinct()
-    met = runs.drop("folded").join(items.select("h", passage_id), "h").select(passage_id, id_col).distinct()
+    # A filter of the heads, of bounded size, goes to the texts first, so that hardly a hash is shuffled which no passage begins with.
+    heads = items.select("h").distinct()
+    begins = may_hold(heads, "h", filter_bits(heads.count()))
+    met = runs.drop("folded").where(begins(F.col("h"))).join(items.select("h", passage_id), "h").select(passage_id, id_col).distinct()
     return met.join(docs, id_col).join(items.select(passage_id, "passage"), passage_id).where(holds).select(passage_id, id_col).distinct()
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from foliant.functions.text import SENTENCE
+from foliant.operators.order import PART, deal, scan
 from foliant.session import cut, ship
 
 # Names, places, things and verbs of the story tasks.
@@ -36,19 +37,21 @@ def sentence_offsets(contexts: DataFrame, id_col: str = "context_id", text_col:
     """(context_id, position, sentence): non-empty sentences with their offsets in code points.
 
     A context may come in several rows of whole sentences, in the order of ``part_col``: offsets are then those
-    of its rows joined by one character each, and no row has to hold a long context.
+    of its rows joined by one character each, and no row, task or window has to hold a long context.
     """
+    return _sentences(contexts, id_col, text_col, part_col).drop(PART)
+
+
+def _sentences(contexts: DataFrame, id_col: str, text_col: str, part_col: str | None) -> DataFrame:
+    """As sentence_offsets, dealt out by ranges of contexts and places."""
     ship(contexts.sparkSession)
-    text = F.coalesce(text_col, F.lit(""))
-    base = F.lit(0)
-    if part_col is not None:
-        earlier = Window.partitionBy(id_col).orderBy(part_col).rowsBetween(Window.unboundedPreceding, -1)
-        base = F.coalesce(F.sum(F.length(text) + 1).over(earlier), F.lit(0))
-    marked = F.split(F.regexp_replace(text, f"({SENTENCE})", "\u0001$1\u0002"), "[\u0001\u0002]")
-    parts = contexts.select(F.col(id_col).cast("string").alias("context_id"), base.cast("long").alias("base"), marked.alias("sentence"))
+    rows = contexts.select(F.col(id_col).cast("string").alias("context_id"), F.coalesce(text_col, F.lit("")).alias("text"), (F.lit(0) if part_col is None else F.col(part_col)).alias("nth"))
+    rows = scan(deal(rows, "context_id", "nth"), ["context_id"], ["nth"], {"base": F.length("text") + 1})
+    marked = F.split(F.regexp_replace("text", f"({SENTENCE})", "\u0001$1\u0002"), "[\u0001\u0002]")
+    parts = rows.select(PART, "context_id", F.col("base").cast("long").alias("base"), marked.alias("sentence"))
     placed = parts.withColumn("position", _before(F.transform("sentence", F.length)))
-    found = placed.select("context_id", "base", F.inline(F.filter(F.arrays_zip("position", "sentence"), lambda x: x["sentence"].rlike(r"\S") & x["sentence"].rlike(r"(?i)[a-z]"))))
-    return found.select("context_id", (F.col("position") + F.col("base")).alias("position"), "sentence")
+    found = placed.select(PART, "context_id", "base", F.inline(F.filter(F.arrays_zip("position", "sentence"), lambda x: x["sentence"].rlike(r"\S") & x["sentence"].rlike(r"(?i)[a-z]"))))
+    return found.select(PART, "context_id", (F.col("position") + F.col("base")).alias("position"), "sentence")
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -70,17 +73,17 @@ def _resolved(rows: DataFrame) -> DataFrame:
 
     ``assumed`` says which rows' movements are. What "they" and "he" stand for comes from
     earlier rows alone: the last one or two names that moved (group), and the last ones that did
-    anything or were given something (referents).
+    anything or were given something (referents). Both are scans over ranges of places, so a context of any size is many tasks'.
     """
-    before = Window.partitionBy("context_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    place_of = (["context_id"], ["position"])
     name = lambda form, k=0: F.initcap(F.lower(F.get(form, F.lit(k))))
     both, alone = F.array(name("pair"), name("pair", 1)), F.array(name("single"))
-    grouped = rows.withColumn("group", F.last(F.when(F.col("pair").isNotNull(), both).when(F.col("assumed"), alone), ignorenulls=True).over(before))
+    grouped = cut(scan(rows, *place_of, lasts={"group": F.when(F.col("pair").isNotNull(), both).when(F.col("assumed"), alone)}))
     theirs = F.col("pair").isNull() & F.col("they").isNotNull() & F.col("group").isNotNull()
     moved = F.when(F.col("pair").isNotNull(), both).when(theirs, F.col("group")).when(F.col("assumed"), alone)
     # What a row says last about someone counts: a thing given, put down, taken, then a movement.
     said = F.coalesce(F.when(F.col("transfer").isNotNull(), F.array(name("transfer", 2))), F.when(F.col("drop").isNotNull(), F.array(name("drop"))), F.when(F.col("pickup").isNotNull(), F.array(name("pickup"))), moved)
-    told = grouped.withColumn("referents", F.last(said, ignorenulls=True).over(before))
+    told = scan(grouped, *place_of, lasts={"referents": said})
     his = F.col("pair").isNull() & ~theirs & F.col("pronoun").isNotNull() & F.coalesce(F.size("referents") == 1, F.lit(False))
     own = F.col("pair").isNull() & ~theirs & ~his & F.col("single").isNotNull()
     people = F.when(F.col("pair").isNotNull(), both).when(theirs, F.col("group")).when(his, F.col("referents")).when(own, alone)
@@ -91,11 +94,16 @@ def _resolved(rows: DataFrame) -> DataFrame:
 def story_candidates(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text", part_col: str | None = None) -> DataFrame:
     """All events of each context, with coreference; numbered from 1 by place, a row's movement before what happens to things.
 
-    Coreference is a matter of windows over a context's matching sentences (see _resolved). Only a
+    Coreference is a matter of scans over a context's matching sentences (see _resolved). Only a
     sentence with a pronoun's movement beside a name's needs to know how earlier ones of its
     kind came out: such contexts are resolved again until nothing changes, each time one more is settled at least.
     """
-    rows = cut(matched_sentences(sentence_offsets(contexts, id_col, text_col, part_col)))
+    return _candidates(contexts, id_col, text_col, part_col).drop(PART)
+
+
+def _candidates(contexts: DataFrame, id_col: str, text_col: str, part_col: str | None) -> DataFrame:
+    """As story_candidates, dealt out by ranges of contexts and places."""
+    rows = cut(matched_sentences(_sentences(contexts, id_col, text_col, part_col)))
     mixed = F.col("pair").isNull() & F.col("single").isNotNull() & (F.col("they").isNotNull() | F.col("pronoun").isNotNull())
     found = _resolved(rows.withColumn("assumed", F.col("pair").isNull() & F.col("single").isNotNull() & ~mixed))
     if not rows.where(mixed).isEmpty():
@@ -114,35 +122,46 @@ def story_candidates(contexts: DataFrame, id_col: str = "context_id", text_col:
         event(F.col("drop").isNotNull(), "drop", F.array(name("drop")), obj=thing("drop")),
         event(F.col("transfer").isNotNull(), "transfer", F.array(name("transfer"), name("transfer", 2)), obj=thing("transfer"), source=name("transfer"), target=name("transfer", 2)),
     ))
-    each = found.select("context_id", "position", F.col("sentence").alias("text"), F.posexplode(events).alias("at", "e"))
-    idx = F.row_number().over(Window.partitionBy("context_id").orderBy("position", "at"))
-    return each.select("context_id", idx.alias("idx"), "e.kind", "text", "position", "e.people", "e.location", "e.obj", "e.source", "e.target")
+    each = cut(found.select(PART, "context_id", "position", F.col("sentence").alias("text"), F.posexplode(events).alias("at", "e")))
+    numbered = scan(each, ["context_id"], ["position", "at"], {"idx": F.lit(1)}).withColumn("idx", (F.col("idx") + 1).cast("int"))
+    return numbered.select(PART, "context_id", "idx", "e.kind", "text", "position", "e.people", "e.location", "e.obj", "e.source", "e.target")
 
 
 def densest_block(events: DataFrame, gap: int = GAP) -> DataFrame:
-    """Of events split where more than ``gap`` characters lie between two, the block with most of them, the earliest among equals; two events or fewer stay. Renumbers idx."""
-    by = Window.partitionBy("context_id").orderBy("position", "idx")
-    new = F.coalesce(F.col("position") - F.lag("position").over(by) > gap, F.lit(False)).cast("int")
-    blocks = events.withColumn("new", new).withColumn("block", F.sum("new").over(by))
+    """Of events split where more than ``gap`` characters lie between two, the block with most of them, the earliest among equals; two events or fewer stay. Renumbers idx.
+
+    Blocks are numbered by scans over ranges of places, so a context of any size is many tasks'. A scan reads its rows twice, so what one
+    is made of is kept.
+    """
+    places = (["context_id"], ["position", "idx"])
+    dealt = events if PART in events.columns else deal(events, "context_id", "position", "idx")
+    new = F.coalesce(F.col("position") - F.col("last") > gap, F.lit(False)).cast("int")
+    split = cut(scan(dealt, *places, lasts={"last": F.col("position")}).withColumn("new", new))
+    blocks = cut(scan(split, *places, {"block": F.col("new")}).withColumn("block", F.col("block") + F.col("new")))
     sizes = blocks.groupBy("context_id", "block").agg(F.count(F.lit(1)).alias("n"))
     best = sizes.groupBy("context_id").agg(F.sum("n").alias("total"), F.max_by("block", F.struct("n", -F.col("block"))).alias("best"))
-    kept = blocks.join(best, "context_id").where((F.col("total") <= 2) | (F.col("block") == F.col("best")))
-    return kept.withColumn("idx", F.row_number().over(by)).select(*events.columns)
+    kept = blocks.join(cut(best), "context_id").where((F.col("total") <= 2) | (F.col("block") == F.col("best")))
+    renumbered = scan(kept.withColumnRenamed("idx", "old"), ["context_id"], ["position", "old"], {"idx": F.lit(1)}).withColumn("idx", (F.col("idx") + 1).cast("int"))
+    return renumbered.select(*[c for c in events.columns if c != PART])
 
 
 def extract_story_events(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text", part_col: str | None = None) -> DataFrame:
-    return densest_block(story_candidates(contexts, id_col, text_col, part_col))
+    return densest_block(cut(_candidates(contexts, id_col, text_col, part_col)))
+
+
+def _moves(events: DataFrame) -> DataFrame:
+    return events.where("kind = 'movement' and location is not null").select("context_id", F.explode("people").alias("person"), "idx", "location")
 
 
 def person_moves(events: DataFrame) -> DataFrame:
     """(context_id, person, idx, location, previous): each person's history."""
-    moves = events.where("kind = 'movement' and location is not null").select("context_id", F.explode("people").alias("person"), "idx", "location")
-    return moves.withColumn("previous", F.lag("location").over(Window.partitionBy("context_id", "person").orderBy("idx")))
+    who = (["context_id", "person"], ["idx"])
+    return scan(deal(_moves(events), *who[0], *who[1]), *who, lasts={"previous": F.col("location")}).drop(PART)
 
 
 def person_locations(events: DataFrame) -> DataFrame:
     """(context_id, person, location) at the end."""
-    return person_moves(events).groupBy("context_id", "person").agg(F.max_by("location", "idx").alias("location"))
+    return _moves(events).groupBy("context_id", "person").agg(F.max_by("location", "idx").alias("location"))
 
 
 def object_state(events: DataFrame) -> DataFrame:
@@ -153,7 +172,7 @@ def object_state(events: DataFrame) -> DataFrame:
     target = F.when(F.col("kind") == "transfer", F.col("target")).otherwise(F.get("people", F.lit(0)))
     last = events.where("obj is not null").groupBy("context_id", "obj").agg(F.max_by(F.struct("idx", "kind", target.alias("actor")), "idx").alias("e"))
     last = last.select("context_id", "obj", F.col("e.idx").alias("at"), F.col("e.kind").alias("kind"), F.col("e.actor").alias("person"))
-    moves = person_moves(events).select("context_id", "person", "idx", F.col("location").alias("went"))
+    moves = _moves(events).select("context_id", "person", "idx", F.col("location").alias("went"))
     seen = last.join(moves, ["context_id", "person"], "left").where(F.col("idx").isNull() | (F.col("kind") != "drop") | (F.col("idx") <= F.col("at")))
     where = seen.groupBy("context_id", "obj").agg(F.max_by("went", "idx").alias("location"))
     return last.select("context_id", "obj", F.when(F.col("kind") != "drop", F.col("person")).alias("holder")).join(where, ["context_id", "obj"], "left")

@@ -356,3 +356,48 @@ def test_quotes_of_nested_json(spark):
         got.setdefault(r["context_id"], {})[r["ord"]] = r["quote"]
     want = {k: dict(enumerate(walk(v, "", [])[:5])) for k, v in enumerate(values)}
     assert got == {k: v for k, v in want.items() if v} and got[300] == {0: "has ] bracket inside here", 1: "second long quote"} and got[301] == {0: "second long one"}
+
+
+def test_scans_equal_plain_ones(spark):
+    """Sums and last values within keys over ranges, one key holding most rows and spread over all of them, null keys and values too."""
+    from foliant.operators import order as O
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), k, rng.choice([None, rng.randrange(9)])) for k in range(500)]
+    rng.shuffle(rows)
+    dealt = O.deal(spark.createDataFrame(rows, "k string, at int, v int"), "k", "at")
+    got = {r["at"]: (r["sum"], r["last"]) for r in O.scan(dealt, ["k"], ["at"], {"sum": F.col("v")}, {"last": F.col("v")}).collect()}
+    want, had = {}, {}
+    for k, at, v in sorted(rows, key=lambda r: r[1]):
+        want[at] = had.get(k, (0, None))
+        had[k] = (want[at][0] + (v or 0), want[at][1] if v is None else v)
+    assert got == want and dealt.where("k = 'hot'").select(O.PART).distinct().count() >= 3
+    assert O.scan(dealt.limit(0), ["k"], ["at"], {"sum": F.col("v")}).count() == 0
+    numbered = O.prefix_sums(spark.createDataFrame(rows, "k string, at int, v int"), ["at"], {"n": "at"}).collect()
+    assert all(r["n"] == sum(range(r["at"])) for r in numbered)
+
+
+def test_bloom_filter(spark):
+    """Nothing that is there is turned away, little else gets through, and the size is bounded."""
+    from foliant.operators import bloom
+
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    test = bloom.may_hold(keys, "h", bloom.filter_bits(3000))
+    there = spark.range(20_000).select("id", F.xxhash64("id").alias("h")).where(test(F.col("h")))
+    got = {r["id"] for r in there.collect()}
+    assert set(range(3000)) <= got and len(got) < 3000 + 17_000 * 0.02
+    assert bloom.filter_bits(10**12) == bloom.MOST_BITS and bloom.filter_bits(0) == bloom.LEAST_BITS
+    none = bloom.may_hold(keys.limit(0), "h", 1024)
+    assert spark.range(9).select(F.xxhash64("id").alias("h")).where(none(F.col("h"))).count() == 0
+
+
+def test_passages_beyond_the_broadcast(spark):
+    """The shuffled way gives the same, and shuffles hardly more hashes than there are candidates."""
+    rng = random.Random(7)
+    word = lambda: rng.choice(["the", "garden", "gate", "of", "a", "house", "river", "stone"]) + rng.choice(["", "s", "ly", "ed"])
+    say = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, say(rng.choice([1, 3, 9, 30]) if k else 12)) for k in range(30)] + [(90, " "), (91, None)]
+    docs = [(k, f"{say(40)} {rng.choice(items)[1] if k % 3 == 0 else say(9)}  {say(40)}") for k in range(300)] + [(900, None)]
+    corpus, passages = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    near, far = ({tuple(r) for r in E.verbatim_passages(corpus, passages, broadcast_chars=c).collect()} for c in (8_000_000, 0))
+    assert near == far and len(near) > 50
