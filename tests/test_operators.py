@@ -401,3 +401,22 @@ def test_passages_beyond_the_broadcast(spark):
     corpus, passages = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
     near, far = ({tuple(r) for r in E.verbatim_passages(corpus, passages, broadcast_chars=c).collect()} for c in (8_000_000, 0))
     assert near == far and len(near) > 50
+
+
+def test_bm25_in_blocks_equals_postings(spark):
+    """Scores and ranks as by joined postings, in blocks of any size, over several contexts, with ties and empty pages."""
+    from foliant.operators.blocks import bm25_in_blocks
+
+    rng = random.Random(2)
+    say = lambda n: " ".join(rng.choice(["garden", "gate", "river", "stone", "house", "lamp", "w1", "42", "zz"]) for _ in range(n))
+    pages = spark.createDataFrame([(k % 3, k, say(rng.choice([0, 3, 9, 40])) if k % 11 else None) for k in range(120)] + [(None, 5, say(5))], "context_id int, page_id int, text string").repartition(3)
+    asked = spark.createDataFrame([(10 * c + k, c, say(rng.randrange(1, 9))) for c in range(4) for k in range(5)] + [(99, 0, "absent words only")], "question_id int, context_id int, question string")
+    weights = R.query_weights(asked)
+    post = R.postings(pages)
+    want = R.top_k(R.bm25(post, R.document_frequencies(post, pages), weights), 4).collect()
+    for cells in (4_000_000, 7):
+        got = R.top_k(bm25_in_blocks(pages, weights, 4, R.K1, R.B, R.AVERAGE_LENGTH, cells=cells), 4).collect()
+        assert {(r["question_id"], r["page_id"], r["rank"], round(r["score"], 9)) for r in got} == {(r["question_id"], r["page_id"], r["rank"], round(r["score"], 9)) for r in want} and len(want) > 40
+    assert bm25_in_blocks(pages, weights, 4, R.K1, R.B, R.AVERAGE_LENGTH, most_terms=3) is None
+    assert bm25_in_blocks(pages.limit(0), weights, 4, R.K1, R.B, R.AVERAGE_LENGTH).count() == 0
+    assert bm25_in_blocks(pages, weights.limit(0), 4, R.K1, R.B, R.AVERAGE_LENGTH).count() == 0
