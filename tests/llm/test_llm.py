@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -318,6 +318,37 @@ def test_op4_ranks_are_suffix_order(spark):
     assert pairs[(1, 0)] == pairs[(1, 2)] == pairs[(2, 0)] and pairs[(1, 3)] == pairs[(2, 1)] != pairs[(1, 0)]
 
 
+def test_op4_intervals_to_the_line(spark):
+    """The suffix array's order, common prefixes of neighbours and deletions from intervals, for runs of any length, against plain lists."""
+    rng = random.Random(3)
+    rows = [(k, "\n".join(rng.choice(["a", "b", f"x{rng.randrange(60)}"]) for _ in range(rng.randrange(1, 30)))) for k in range(25)] + [(30, "\n".join("pqrstuvwxyz")), (31, "\n".join("!pqrstuvw?"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lines_of = {k: t.split("\n") for k, t in rows}
+    levels, places = lines.suffix_array(docs)
+    met = sorted(lines.common_prefixes(places, len(levels)).collect(), key=lambda r: r["rank"])
+    count = Counter(x for v in lines_of.values() for x in v)
+    assert len(met) == sum(count[x] > 1 for v in lines_of.values() for x in v) == len({r["rank"] for r in met})
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    tails = [lines_of[r["doc_id"]][r["pos"] :] for r in met]
+    assert [r["lcp"] for r in met[1:]] == [common(a, b) for a, b in zip(tails, tails[1:], strict=False)]
+    # Suffixes with a common prefix stand together.
+    for n in range(1, 12):
+        runs = [tuple(t[:n]) if len(t) >= n else k for k, t in enumerate(tails)]
+        assert len(set(runs)) == 1 + sum(a != b for a, b in zip(runs, runs[1:], strict=False))
+    longest = {d: max((common(lines_of[d][i:], lines_of[e][j:]) for i in range(len(lines_of[d])) for e in lines_of for j in range(len(lines_of[e])) if (d, i) != (e, j)), default=0) for d in lines_of}
+    for least in (1, 3):
+        seen, gone = set(), defaultdict(set)
+        for d, v in lines_of.items():
+            for i in range(len(v) - least + 1):
+                if tuple(v[i : i + least]) in seen:
+                    gone[d] |= set(range(i, i + least))
+                seen.add(tuple(v[i : i + least]))
+        for r in lines.line_dedup(docs, min_lines=least).collect():
+            v = lines_of[r["doc_id"]]
+            assert (r["kept_text"], r["longest_run"]) == ("\n".join(x for i, x in enumerate(v) if i not in gone[r["doc_id"]]), longest[r["doc_id"]])
+    assert longest[30] == longest[31] == 8
+
+
 def test_op4_odd_rows(odd):
     assert lines.line_dedup(odd).count() == 6
     assert lines.line_dedup(odd.limit(0)).count() == 0
