@@ -67,6 +67,29 @@ def test_op12_sums_over_all_labellings(monkeypatch):
                 assert got == []
 
 
+def test_op12_all_tokens_are_decoded(field):
+    """Spans are those of decoding every line whole, cue or none: by a field of any weights, and by the trained one."""
+    rng, made = np.random.default_rng(5), random.Random(5)
+    first, steps = pii._allowed()
+    words = "quiet Anou river Berin 12 , . naïve Mr at 日本 ## The ab ABC né call 078 - McBe ЖУК".split()
+    texts = ["\n".join(" ".join(made.choice(words) for _ in range(made.randrange(0, 40))) for _ in range(made.randrange(1, 5))) for _ in range(60)] + ["", "\n", "plain Words only Here", "Mr Anou Berin " * 40]
+    odd = pii.Field(rng.normal(size=(pii.PLACES, len(pii.LABELS))).astype(np.float32), (first + rng.normal(size=len(pii.LABELS))).astype(np.float32), (steps + rng.normal(size=steps.shape)).astype(np.float32))
+    rare = pii.Field(odd.weights - np.float32(0.6) * (np.arange(len(pii.LABELS)) > 0), odd.first, odd.steps)
+    for f in (odd, rare, field):
+        for text, got in zip(texts, pii.added_spans(texts, f), strict=True):
+            want, at = [], 0
+            for line in text.split("\n"):
+                found = list(pii.TOKEN.finditer(line))
+                for m, j in zip(found, f.decode([[m[0] for m in found]])[0], strict=True):
+                    if pii.LABELS[j][0] == "B":
+                        want.append((pii.LABELS[j][2:], at + m.start(), at + m.end()))
+                    elif pii.LABELS[j][0] == "I":
+                        want[-1] = (*want[-1][:2], at + m.end())
+                at += len(line) + 1
+            assert got == want
+    assert any(got for got in pii.added_spans(["quiet river naïve"], odd))
+
+
 def test_op12_held_out(field):
     """Texts of the same patterns filled otherwise: exact spans, and nothing in what is plain."""
     held = pii.labelled_rows(1500, seed=77)
