@@ -140,13 +140,14 @@ def densest_block(events: DataFrame, gap: int = GAP) -> DataFrame:
     blocks = cut(scan(split, *places, {"block": F.col("new")}).withColumn("block", F.col("block") + F.col("new")))
     sizes = blocks.groupBy("context_id", "block").agg(F.count(F.lit(1)).alias("n"))
     best = sizes.groupBy("context_id").agg(F.sum("n").alias("total"), F.max_by("block", F.struct("n", -F.col("block"))).alias("best"))
-    kept = blocks.join(cut(best), "context_id").where((F.col("total") <= 2) | (F.col("block") == F.col("best")))
+    kept = cut(blocks.join(cut(best), "context_id").where((F.col("total") <= 2) | (F.col("block") == F.col("best"))))
     renumbered = scan(kept.withColumnRenamed("idx", "old"), ["context_id"], ["position", "old"], {"idx": F.lit(1)}).withColumn("idx", (F.col("idx") + 1).cast("int"))
     return renumbered.select(*[c for c in events.columns if c != PART])
 
 
 def extract_story_events(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text", part_col: str | None = None) -> DataFrame:
-    return densest_block(cut(_candidates(contexts, id_col, text_col, part_col)))
+    """The events of each context's densest block. Kept, as what is told of a story reads them several times."""
+    return cut(densest_block(cut(_candidates(contexts, id_col, text_col, part_col))))
 
 
 def _moves(events: DataFrame) -> DataFrame:

@@ -318,14 +318,12 @@ def test_story_coreference_of_mixed_sentences(spark):
 
 
 def test_story_in_rows_equals_story_in_one(spark):
-    from foliant.operators import story
-
     told = ["Mary went to the garden. ", "", None, "She picked up the milk.  Mary took the milk.\n", "Then they moved to the office. John and Mary moved to the park."]
     parts = spark.createDataFrame([(c, k, x) for c in (1, 2) for k, x in enumerate(told)], "context_id long, part int, text string")
     whole = spark.createDataFrame([(c, "\n".join(x or "" for x in told)) for c in (1, 2)], "context_id long, text string")
     assert sorted(story.sentence_offsets(parts, part_col="part").collect()) == sorted(story.sentence_offsets(whole).collect())
     key = lambda rows: sorted(str(r) for r in rows.collect())
-    assert key(story.extract_story_events(parts, part_col="part")) == key(story.extract_story_events(whole)) != []
+    assert key(S.extract_story_events(parts, part_col="part")) == key(S.extract_story_events(whole)) != []
 
 
 def test_quotes_of_nested_json(spark):
@@ -420,3 +418,10 @@ def test_bm25_in_blocks_equals_postings(spark):
     assert bm25_in_blocks(pages, weights, 4, R.K1, R.B, R.AVERAGE_LENGTH, most_terms=3) is None
     assert bm25_in_blocks(pages.limit(0), weights, 4, R.K1, R.B, R.AVERAGE_LENGTH).count() == 0
     assert bm25_in_blocks(pages, weights.limit(0), 4, R.K1, R.B, R.AVERAGE_LENGTH).count() == 0
+
+
+def test_story_events_are_kept(spark):
+    """What is told of a story reads its events several times; they are not extracted anew each time."""
+    events = S.extract_story_events(spark.createDataFrame([("1", "Mary went to the kitchen. Mary picked up the milk.")], "context_id string, text string"))
+    assert "Window" not in events._jdf.queryExecution().toString()
+    assert [r["kind"] for r in events.orderBy("idx").collect()] == ["movement", "pickup"]
