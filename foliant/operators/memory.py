@@ -175,12 +175,12 @@ def flat_tier(events: DataFrame, questions: DataFrame, most: int = TIER_ITEMS) -
 
 
 def memory_tiers(events: DataFrame, questions: DataFrame) -> DataFrame:
-    """The tiers that each question is routed to: question_id, tier, place (of the tier in the packet), ord, item."""
+    """The tiers that each question is routed to: question_id, tier, place (of the tier in the packet), ord, item. A tier sees only the questions that go to it."""
     tiers, _ = route(F.col("question"))
-    routed = questions.select("question_id", F.posexplode(tiers).alias("__k", "tier"))
+    to = lambda tier: questions.where(F.array_contains(tiers, tier))
     place = F.array_position(F.array(*[F.lit(x) for x in ("L0", "L1", "L2", "L3")]), F.col("tier"))
-    every = hot_tier(events, questions).unionByName(episodic_tier(events, questions)).unionByName(semantic_tier(events, questions)).unionByName(cold_tier(events, questions))
-    return every.join(routed.drop("__k"), ["question_id", "tier"]).withColumn("place", place.cast("int"))
+    every = hot_tier(events, to("L0")).unionByName(episodic_tier(events, to("L1"))).unionByName(semantic_tier(events, to("L2"))).unionByName(cold_tier(events, to("L3")))
+    return every.withColumn("place", place.cast("int"))
 
 
 def memory_packets(items: DataFrame, questions: DataFrame, budget_tokens: int = BUDGET) -> DataFrame:

@@ -420,6 +420,19 @@ def test_bm25_in_blocks_equals_postings(spark):
     assert bm25_in_blocks(pages, weights.limit(0), 4, R.K1, R.B, R.AVERAGE_LENGTH).count() == 0
 
 
+def test_tiers_see_only_their_questions(spark, monkeypatch):
+    """A tier is worked out for the questions that are routed to it, not for all."""
+    events = spark.createDataFrame([(1, -1, "e1", "meal", "dinner", "soup", 1, "note"), (1, -3, "e2", "preference", "tea", "green", 3, "note")], "context_id long, day int, event_id string, kind string, key string, value string, importance int, text string")
+    asked = spark.createDataFrame([(1, 1, "What did I eat last night?"), (2, 1, "How many times did I eat dinner?"), (3, 1, "Was it never mentioned?")], "question_id long, context_id long, question string")
+    seen = {}
+    for name in ("hot_tier", "episodic_tier", "semantic_tier", "cold_tier"):
+        whole = getattr(M, name)
+        monkeypatch.setattr(M, name, lambda e, q, whole=whole, name=name: seen.setdefault(name, [r["question_id"] for r in q.collect()]) and whole(e, q))
+    tiers = {(r["question_id"], r["tier"]) for r in M.memory_tiers(events, asked).collect()}
+    assert seen == {"hot_tier": [1], "episodic_tier": [1], "semantic_tier": [2], "cold_tier": [3]}
+    assert tiers == {(1, "L0"), (1, "L1"), (2, "L2"), (3, "L3")}
+
+
 def test_story_events_are_kept(spark):
     """What is told of a story reads its events several times; they are not extracted anew each time."""
     events = S.extract_story_events(spark.createDataFrame([("1", "Mary went to the kitchen. Mary picked up the milk.")], "context_id string, text string"))
