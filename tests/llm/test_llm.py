@@ -349,6 +349,22 @@ def test_op4_intervals_to_the_line(spark):
     assert longest[30] == longest[31] == 8
 
 
+def test_op4_query_takes_no_joins_a_level(spark, monkeypatch):
+    """Without exact lengths deletions are the same, and nothing but the levels themselves grows with the longest run."""
+    body = "\n".join(f"line {k}" for k in range(70))
+    rows = [(1, body), (2, body + "\nown"), (3, "own\nline 3\nline 4\nline 5\nz"), (4, "z\nline 4\nline 5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = lambda **more: sorted(tuple(r)[:4] + (str(r["spans"]), r["kept_text"]) for r in lines.line_dedup(docs, **more).collect())
+    for least in (1, 2, 3):
+        assert told(min_lines=least, exact_runs=False) == told(min_lines=least)
+    made, cut = [], lines.cut
+    monkeypatch.setattr(lines, "cut", lambda df: made.append(1) or cut(df))
+    levels = len(lines.suffix_levels(docs))
+    before = len(made)
+    found = lines.line_dedup(docs, exact_runs=False)
+    assert levels == 7 and len(made) == 2 * before + 2 and "longest_run" not in found.columns
+
+
 def test_op4_odd_rows(odd):
     assert lines.line_dedup(odd).count() == 6
     assert lines.line_dedup(odd.limit(0)).count() == 0
