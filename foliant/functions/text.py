@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 TOKEN = r"[A-Za-z][A-Za-z0-9_'-]*|\d+(?:\.\d+)?"
 LOWER_TOKEN = r"[a-z][a-z0-9_'-]*|\d+(?:\.\d+)?"
 SENTENCE = r"(?<=[.!?])\s+|\n+"
+VALUE_SIGN = "[-0-9@/_]"  # one of these is in every VALUE
 VALUE = r"(\b\d+(?:\.\d+)?\b|\b[A-Z]{2,}[-_A-Z0-9]*\d[-_A-Z0-9]*\b|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|/[A-Za-z0-9._/:-]+|\b[A-Za-z]+[-_][A-Za-z0-9_-]+\b)"
 ENTITY = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}\b"
 CAPITALISED = r"\b[A-Z][A-Za-z'’]*(?:\s+[A-Z][A-Za-z'’]*){0,3}\b"
@@ -42,7 +43,7 @@ def without(words: Column, stop: Sequence[str]) -> Column:
 def flags(text: Column) -> dict[str, Column]:
     """has_value, n_entities (not counting those that start with a stop word), has_update, has_count."""
     entities = F.filter(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), lambda e: ~F.lower(F.regexp_extract(e, r"^\S+", 0)).isin(*STOP_UNITS))
-    return {"has_value": text.rlike(VALUE), "n_entities": F.size(entities), "has_update": text.rlike(UPDATE), "has_count": text.rlike(COUNTING)}
+    return {"has_value": text.rlike(VALUE_SIGN) & text.rlike(VALUE), "n_entities": F.size(entities), "has_update": text.rlike(UPDATE), "has_count": text.rlike(COUNTING)}
 
 
 def capitalised_terms(text: Column, stop: Sequence[str] = STOP_QUESTION) -> Column:

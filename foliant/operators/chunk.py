@@ -111,7 +111,8 @@ def unit_array(text: Column, longest: int = 1200) -> Column:
     parts = F.filter(F.transform(F.split(text, T.SENTENCE), lambda s: T.strip(s)), lambda s: s != "")
     sliced = F.transform(parts, lambda s: F.when(F.length(s) <= longest, F.array(s)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / longest).cast("int")), lambda k: T.strip(F.substring(s, k * longest + 1, F.lit(longest))))))
     units = F.filter(F.flatten(sliced), lambda s: s != "")
-    return F.when(F.size(units) == 0, F.array(T.strip(text))).otherwise(units)
+    # Named within a lambda, so that they are made once and not for their size too.
+    return F.get(F.transform(F.array(units), lambda u: F.when(F.size(u) == 0, F.array(T.strip(text))).otherwise(u)), F.lit(0))
 
 
 def sentence_units(contexts: DataFrame, id_col: str = "context_id", text_col: str = "text", longest: int = 1200) -> DataFrame:

@@ -159,6 +159,35 @@ def test_selection_of_many_units():
     assert took[1] < 60
 
 
+def test_few_units_are_taken_as_many_are(monkeypatch):
+    """Looking at all units each time gives what the heap gives, ties by index included; pairs are told apart without a hash table."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(1, 60))
+        pairs = np.unique(rng.integers(0, n, 6 * n) * 40 + rng.integers(0, 40, 6 * n))
+        given = (rng.integers(0, 5, n) / 2.0, rng.integers(1, 9, n), pairs // 40, pairs % 40, rng.permutation(n) + 1, int(rng.integers(1, 60)), 0.45)
+        few = K.diverse_order(*given)
+        monkeypatch.setattr(K, "FEW_UNITS", 0)
+        assert few == K.diverse_order(*given)
+        monkeypatch.undo()
+    values = rng.integers(0, 50, 300)
+    assert K._distinct(values).tolist() == sorted(set(values.tolist())) and K._distinct(values[:0]).tolist() == []
+
+
+def test_values_hold_one_of_their_signs(spark):
+    rows = spark.createDataFrame([(x,) for x in ("plain words", "7", "a-b", "A_1", "x@y", "/tmp", "3.5", "AB-9", "", "semi;colon", "\u0663 \u00bd")], "t string")
+    for r in rows.select("t", tasks_io.T.flags(F.col("t"))["has_value"].alias("has"), F.col("t").rlike(tasks_io.T.VALUE).alias("want")).collect():
+        assert r["has"] == r["want"]
+
+
+def test_units_are_made_once(spark):
+    """A text without sentences is its own unit; the units of others aren't made a second time for their number."""
+    made = C.unit_array(F.col("t"))
+    rows = spark.createDataFrame([("One. Two!\n\nThree",), ("  ",), (None,)], "t string").select(made.alias("u"))
+    assert [r["u"] for r in rows.collect()] == [["One.", "Two!", "Three"], [""], [""]]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_context_windows_split_once_a_term(spark):
     """What a text is split into is named once: named twice, it was split anew for every place of a term."""
     rows = spark.createDataFrame([(1, 1, "word " * 50, ["word", "none"])], "question_id int, page_id int, text string, terms array<string>")
