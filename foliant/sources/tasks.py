@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.session import cut
 from foliant.sources.buckets import read_buckets as read_buckets
 from foliant.sources.splits import read_lines as read_lines
 from foliant.sources.splits import read_map
@@ -166,15 +167,18 @@ def write_pages(pages: DataFrame, path: str, buckets: int | None = None, bucket_
     """The page store: pages by a hash bucket of their context, and beside it a manifest (write_manifest's aggregate); returns the number of buckets.
 
     There are as many buckets as ``bucket_chars`` go into what is written, unless a number is given. A bucket is written by several tasks,
-    as many as ``file_chars`` go into the largest context or the mean bucket, pages being dealt out by number, so a context that holds much of the pages is not one
-    task's. No pages give an empty store.
+    as many as ``file_chars`` go into the largest one, a task of its own for each of their shares. Pages are dealt out to these by a hash of context and
+    number, so neither a context that holds much of the pages nor the first pages of short ones are one task's. No pages give an empty store.
     """
-    sizes = manifest(pages).agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("all"), F.coalesce(F.max("chars"), F.lit(0)).alias("most")).first()
-    n = buckets or max(1, math.ceil(sizes["all"] / bucket_chars))
-    files = max(1, math.ceil(max(sizes["most"], sizes["all"] / n) / file_chars))
-    dealt = pages.withColumn("bucket", F.pmod(F.xxhash64("context_id"), F.lit(n))).repartition(n * files, "bucket", F.pmod("page_id", F.lit(files)))
+    told = cut(manifest(pages))
+    n = buckets or max(1, math.ceil((told.agg(F.sum("chars")).first()[0] or 0) / bucket_chars))
+    bucket = F.pmod(F.xxhash64("context_id"), F.lit(n)).cast("int")
+    most = told.groupBy(bucket.alias("bucket")).agg(F.sum("chars").alias("chars")).agg(F.max("chars")).first()[0] or 0
+    files = max(1, math.ceil(most / file_chars))
+    share = F.pmod(F.xxhash64("page_id", "context_id"), F.lit(files)).cast("int")
+    dealt = pages.withColumn("bucket", bucket).repartitionById(n * files, F.col("bucket") * files + share)
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/pages")
-    manifest(pages).write.mode("overwrite").parquet(f"{path}/manifest")
+    told.write.mode("overwrite").parquet(f"{path}/manifest")
     return n
 
 

@@ -203,3 +203,13 @@ def test_cohort_relabel_scans(spark):
     scans = spark.createDataFrame([(k, [(100.0 + k, -50.0)]) for k in range(20)], "ord int, peaks array<struct<freq:double,power:double>>")
     got = {r["episode"]: (r["history"].count("\n") + 1, r["future"]) for r in N.sliding_scans(scans, back=10, ahead=5).collect()}
     assert got[0][0] == 10 and got[0][1].splitlines()[0] == "110.00 MHz@-50.0 dBm" and set(got) == {0}
+
+
+def test_page_store_deals_a_task_one_share(spark, tmp_path):
+    """No task writes two buckets, and the first pages of short contexts are not one task's."""
+    text = F.repeat(F.lit("word and word. "), 40)
+    pages = C.page_contexts(spark.range(600).select(F.col("id").alias("context_id"), text.alias("text")), 400)
+    n = S.write_pages(pages, str(tmp_path), bucket_chars=100_000, file_chars=20_000)
+    rows = spark.read.parquet(f"{tmp_path}/pages").select("bucket", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).alias("task")).groupBy("bucket", "task").count().collect()
+    assert n == 4 and {r["bucket"] for r in rows} == set(range(4))
+    assert len({r["task"] for r in rows}) == len(rows) and max(r["count"] for r in rows) < 60
