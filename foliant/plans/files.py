@@ -40,13 +40,14 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as run records, a file each in folders of their own, and among them files that are no records."""
+    """Conversations as run records, a file each in folders of many, and among them files that are no records."""
     path = _folder(spark, "runs")
     turn = F.struct(F.col("turn").cast("int").alias("index"), "role", F.length("text").alias("chars"), F.substring("text", 1, 160).alias("content_preview"))
     rows = V.turns(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    rows.select("conv_id", F.concat(F.lit("run-"), "conv_id").alias("task_id"), "turns", F.to_json(F.struct(F.col("conv_id").alias("arm"))).alias("metadata")).repartition("conv_id").write.partitionBy("conv_id").json(path)
+    n = S.write_runs(rows.select(F.concat(F.lit("run-"), "conv_id").alias("task_id"), "turns", F.to_json(F.struct(F.col("conv_id").alias("arm"))).alias("metadata")), path)
     rows.where("conv_id % 20 = 0").select(F.lit("{no record").alias("value")).write.option("compression", "none").text(f"{path}/broken.json")
-    back = E.flatten_runs(S.read_runs(spark, path, lenient=True))
+    # Spark reads few small files a task, whatever their size: with as many tasks as folders, one reads about FOLDER_RUNS.
+    back = E.flatten_runs(S.read_runs(spark, path, lenient=True).coalesce(n))
     return back.select("task_id", "arm", F.size("turns").alias("n_turns"), F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + t["chars"]).alias("chars"), F.sha1(F.element_at("turns", -1)["content_preview"].cast("binary")).alias("last_sha1"))
 
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import os
+import shutil
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.session import cut
+from foliant.session import cut, ship
 from foliant.sources.buckets import read_buckets as read_buckets
 from foliant.sources.splits import read_lines as read_lines
 from foliant.sources.splits import read_map
@@ -159,6 +163,50 @@ def write_results(rows: DataFrame, path: str, kind: str = "csv", by: Sequence[st
     (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
 
 
+#: Run records of a folder.
+FOLDER_RUNS = 200
+
+
+def _record_files(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get(), 0
+        made = f"{root}/_temporary/{task.taskAttemptId()}"
+        for b in batches:
+            for record in b.column(0):
+                if not n:
+                    os.makedirs(made)
+                with open(f"{made}/run-{n:06d}.json", "wb") as out:
+                    out.write(record.as_py())
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([f"{root}/part-{task.partitionId():06d}"])], names=["made", "kept"])
+
+    return run
+
+
+def write_runs(runs: DataFrame, path: str, folder_runs: int = FOLDER_RUNS) -> int:
+    """Run records (task_id and others) as JSON, one a file, in a new folder: in folders below it, each written by one task; returns as many as ``folder_runs`` go into the records.
+
+    In a file system that Hadoop takes for local, tasks write the files by themselves: without its native library it starts a process for each file,
+    its checksum and its folder. What a task writes lies in a folder of its attempt, which readers pass over until the driver renames those of successful tasks.
+    """
+    spark = runs.sparkSession
+    n = max(1, math.ceil(runs.count() / folder_runs))
+    dealt = runs.withColumn("__folder", F.pmod(F.xxhash64("task_id"), F.lit(n)).cast("int")).repartitionById(n, "__folder")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    if uri.getScheme() != "file":
+        dealt.write.option("maxRecordsPerFile", 1).partitionBy("__folder").json(path)
+        return n
+    root = uri.getPath()
+    os.makedirs(root)
+    ship(spark)
+    for r in dealt.select(F.to_json(F.struct(*runs.columns)).cast("binary")).mapInArrow(_record_files(root), "made string, kept string").collect():
+        os.rename(r["made"], r["kept"])
+    shutil.rmtree(f"{root}/_temporary", ignore_errors=True)
+    return n
+
+
 #: Characters of a page store's bucket, and of one of its files.
 BUCKET_CHARS, FILE_CHARS = 1 << 30, 1 << 28
 

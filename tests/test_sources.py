@@ -1,7 +1,9 @@
 """Readers and writers, and operators on what they read."""
 
 import json
+import os
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from foliant.operators import chunk as C
 from foliant.operators import evaluate as E
 from foliant.operators import normalize as N
 from foliant.operators import panel as P
+from foliant.plans import files
+from foliant.session import shared_dir
 from foliant.sources import tasks as S
 from foliant.sources.buckets import index_files
 from foliant.sources.splits import read_map
@@ -213,3 +217,43 @@ def test_page_store_deals_a_task_one_share(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/pages").select("bucket", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).alias("task")).groupBy("bucket", "task").count().collect()
     assert n == 4 and {r["bucket"] for r in rows} == set(range(4))
     assert len({r["task"] for r in rows}) == len(rows) and max(r["count"] for r in rows) < 60
+
+
+def _record_folders(root) -> dict:
+    return {d: [json.loads(f.read_text()) for f in d.glob("*.json")] for d in {f.parent for f in root.rglob("*.json") if f.is_file()}}
+
+
+def test_run_records_share_folders(spark, tmp_path):
+    """One record a file, few folders, each one task's; nothing is lost for ids that repeat or are null, and a failed attempt's files aren't read."""
+    turn = F.array(F.struct(F.lit(0).alias("index"), F.lit('say "ö"\n').alias("content_preview")))
+    runs = spark.range(450).select(F.concat(F.lit("t/"), F.col("id") % 300).alias("task_id"), turn.alias("turns"), F.col("id").cast("string").alias("model")).repartition(7)
+    runs = runs.unionByName(spark.range(1).select(F.lit(None).cast("string").alias("task_id"), turn.alias("turns"), F.lit("none").alias("model")))
+    root = tmp_path / "a b%20" / "runs"
+    S.write_runs(runs, str(root), 100)
+    folders = _record_folders(root)
+    assert len(folders) == 5 and sum(map(len, folders.values())) == 451 and sorted(p.name[:5] for p in root.iterdir()) == ["part-"] * 5
+    (root / "_temporary" / "7").mkdir(parents=True)
+    (root / "_temporary" / "7" / "run-000000.json").write_text('{"task_id": "half"}')
+    want = sorted((f"t/{k % 300}", str(k), 'say "ö"\n') for k in range(450))
+    told = lambda rows: sorted((r["task_id"], r["model"], r["turns"][0]["content_preview"]) for r in rows.collect())
+    assert told(S.read_runs(spark, str(root), lenient=True)) == want
+    with pytest.raises(FileExistsError):
+        S.write_runs(runs, str(root))
+    S.write_runs(runs.limit(0), str(tmp_path / "none"))
+    assert S.read_runs(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "linked").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.runs.link./in", f"file://{tmp_path}/linked")
+    S.write_runs(runs, "viewfs://runs/in/runs", 100)
+    folders = _record_folders(tmp_path / "linked" / "runs")
+    assert len(folders) == 5 and sum(map(len, folders.values())) == 451 and told(S.read_runs(spark, "viewfs://runs/in/runs", lenient=True)) == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_run_files_folders_hold_many(spark):
+    """Conversations are a file each, and not a folder each."""
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("runs-*"))
+    n = files.run_files(spark, "/root/testdata/sf0.001").count()
+    (root,) = set(shared.glob("runs-*")) - before
+    folders = _record_folders(root)
+    assert sum(map(len, folders.values())) == n and 20 * len(folders) <= n
